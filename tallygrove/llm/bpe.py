@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rows import map_batches
-from .tokens import PieceStore, default_path, vocabulary
+from .tokens import PieceEncoder, default_path, vocabulary
 
 #: Pairs kept in the pair-compatibility table before it is emptied.
 PAIRS = 2_000_000
@@ -119,26 +119,23 @@ class Codec:
         self.words = BacktrackingEncoder(path)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda x: [x]
-        self.store = PieceStore(self._encode_many)
+        self.store = PieceEncoder(self._encode)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in table])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(table), dtype=np.uint8)
 
-    def _encode_many(self, found: list[str]) -> list[tuple[bytes, str]]:
-        out = []
-        for x in found:
-            ids: list[int] = []
-            for part in self.cut(x):
-                if part in self.added:
-                    ids.append(self.added[part])
-                else:
-                    for y in self.find(part):
-                        ids += self.words.encode(y.encode())
-            out.append((array("I", ids).tobytes(), ",".join(map(str, ids))))
-        return out
+    def _encode(self, x: str) -> tuple[bytes, str]:
+        ids: list[int] = []
+        for part in self.cut(x):
+            if part in self.added:
+                ids.append(self.added[part])
+            else:
+                for y in self.find(part):
+                    ids += self.words.encode(y.encode())
+        return array("I", ids).tobytes(), ",".join(map(str, ids))
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
         """For each text, (ids as bytes, ids in decimal) of its pieces in order."""
-        return self.store.look_up([x or "" for x in texts])
+        return [self.store.look_up(x) for x in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         start = self.offsets[ids]

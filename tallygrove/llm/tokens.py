@@ -56,14 +56,18 @@ def vocabulary(path: str) -> tuple[list[bytes], list[tuple[bytes, bytes]], dict[
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """The library's tokenizer of a file, without truncation, padding or threads of its own."""
+def tokenizer(path: str, all_plain: bool = False):
+    """The library's tokenizer of a file, without truncation, padding or threads of its own.
+
+    all_plain takes the strings of special tokens in a text as ordinary text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    t.encode_special_tokens = all_plain
     return t
 
 
@@ -75,23 +79,34 @@ def pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
-class PieceStore:
-    """What encode() gives for pieces, kept for a bounded number of characters."""
+class PieceStore(dict):
+    """What encode() gives for lead + piece, by piece, kept for a bounded number of characters."""
 
-    def __init__(self, encode_many):
-        self.encode_many, self.rest, self.first, self.chars = encode_many, {}, {}, 0
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead, self.chars = encode, lead, 0
 
-    def look_up(self, texts: list[str]) -> list[list]:
-        """For each text, what its pieces give, in order."""
-        cut = [pieces(x) for x in texts]
+    def __missing__(self, piece: str):
         if self.chars > STORE_CHARS:
-            self.rest, self.first, self.chars = {}, {}, 0
-        new = list(set().union(*(x[1:] for x in cut)).difference(self.rest))
-        first = list({x[0] for x in cut}.difference(self.first))
-        self.rest.update(zip(new, self.encode_many([f" {x}" for x in new]), strict=True))
-        self.first.update(zip(first, self.encode_many(first), strict=True))
-        self.chars += sum(map(len, new)) + sum(map(len, first))
-        return [[self.first[x[0]], *map(self.rest.__getitem__, x[1:])] for x in cut]
+            self.clear()
+            self.chars = 0
+        got = self[piece] = self.encode(self.lead + piece)
+        self.chars += len(piece)
+        return got
+
+
+class PieceEncoder:
+    """Looks up the pieces of texts in two stores: for those that begin a text, and for those after a space."""
+
+    def __init__(self, encode):
+        self.first, self.rest = PieceStore(encode, ""), PieceStore(encode, " ")
+
+    def look_up(self, text: str | None) -> list:
+        """What encode() gives for each piece of the text, in order; a null counts as empty."""
+        cut = pieces(text or "")
+        first = self.first[cut[0]]
+        del cut[0]
+        return [first, *map(self.rest.__getitem__, cut)]
 
 
 class LibraryEncoder:
@@ -105,23 +120,31 @@ class LibraryEncoder:
         import regex
 
         self.library = tokenizer(path)
+        self.model = self.library.model.tokenize
         self.letters = {b: ord(c) for c, b in byte_letters().items()}
-        self.split = regex.compile(public_tokenizers.PATTERN)
-        self.added = re.compile("|".join(map(re.escape, vocabulary(path)[2])) or r"(?!)")
-        self.store = PieceStore(self._encode_many)
-
-    def _encode_many(self, found: list[str]) -> list[bytes]:
-        model, split, letters, added, out = self.library.model.tokenize, self.split.findall, self.letters, self.added.search, []
-        for x in found:
-            if added(x):
-                ids = self.library.encode(x, add_special_tokens=False).ids
-            else:
-                ids = [t.id for y in split(x) for t in model(y.encode().decode("latin-1").translate(letters))]
-            out.append(array("I", ids).tobytes())
-        return out
+        self.space = chr(self.letters[32])
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.added = re.compile("|".join(map(re.escape, vocabulary(path)[2])) or r"(?!)").search
+        self.store = PieceEncoder(self._encode)
+
+    def _encode(self, x: str) -> bytes:
+        if x.isascii() and x[:1] == " ":
+            word, last = x[1:], ""
+            if x[-1] in ",.":  # a pre-token of its own after letters
+                word, last = x[1:-1], x[-1]
+            if word.isalpha():
+                ids = [t.id for t in self.model(self.space + word)]
+                if last:
+                    ids.append(self.model(last)[0].id)
+                return array("I", ids).tobytes()
+        if self.added(x):
+            ids = self.library.encode(x, add_special_tokens=False).ids
+        else:
+            ids = [t.id for y in self.split(x) for t in self.model(y.encode().decode("latin-1").translate(self.letters))]
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(x) for x in self.store.look_up([x or "" for x in texts])]
+        return [b"".join(self.store.look_up(x)) for x in texts]
 
 
 @lru_cache(maxsize=4)
