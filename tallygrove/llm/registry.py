@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, chat, grammar, packing, quality, simhash
+from . import bpe, chat, grammar, packing, quality, simhash, toxicity
 from .rows import documents
 
 
@@ -34,6 +34,14 @@ def op4_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read(spark, to, with_ids=False)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = toxicity.fit(docs, documents(spark, sf_dir, "labels"), F.crc32(F.col("_id").cast("string")) % 5 != 0)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    got = toxicity.score(docs, machine)
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(documents(spark, sf_dir), size=1024, end_id=0)
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
