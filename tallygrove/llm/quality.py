@@ -86,7 +86,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """The log ratio of each bucket in units, from all n-grams of all documents; at most BUCKETS rows reach the driver."""
     chosen = docs.select(F.col(doc_id).cast("long").alias("_key"), F.col(text).alias("_text"))
-    marked = chosen.join(trusted_ids(labels).withColumn("_good", F.lit(1)), F.col("_key") == F.col("_id"), "left").select("_text", "_good")
+    marked = chosen.join(trusted_ids(labels).withColumn("_good", F.lit(1)).hint("merge"), F.col("_key") == F.col("_id"), "left").select("_text", "_good")
     grams = with_ngrams(marked, "_text").select("_good", F.explode(F.concat("_one", "_two")).alias("h"))
     counts = grams.groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     total = F.broadcast(counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).withColumn("one", F.lit(1)))
