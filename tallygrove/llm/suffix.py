@@ -19,6 +19,7 @@ they are long enough. Rows with a null id are treated alike. An empty table give
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shared_dir, written
 
 LENGTH = 200
 #: Bytes of a gram; windows of a stretch, at most.
@@ -198,44 +199,65 @@ def digest(raw: bytes) -> int:
 
 
 def with_key(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_raw", F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumn("_key", F.unhex(F.sha2("_raw", 256)))
+    """docs with _raw, the text's bytes, and its 128-bit key in two numbers."""
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return docs.withColumns({"_raw": raw, "_k1": F.xxhash64(raw), "_k2": F.xxhash64(F.lit(7), raw)})
+
+
+KEY = ["_k1", "_k2"]
+
+
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """The different texts (_k1, _k2, _raw, _n: rows), as a table in buckets of their key, so joins on it move no text."""
+    spark = docs.sparkSession
+    texts = with_key(docs.select(text), text).groupBy(*KEY).agg(F.first("_raw").alias("_raw"), F.count("*").alias("_n"))
+    name = f"texts_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = texts.write.bucketBy(parts, *KEY).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+    to.format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_key, spans) of the distinct texts (_key, _raw, _n: copies) with bytes that repeat: int64 pairs [begin, end) in order."""
+    """(_k1, _k2, spans) of the distinct texts with bytes that repeat: [begin, end) pairs, in no order, that may overlap."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in range(0, b.num_rows, 200):
                 s = b.slice(x, 200)
-                got: list[list] = [[] for _ in range(7)]
-                for key, raw, n in zip(s["_key"].to_pylist(), s["_raw"].to_pylist(), s["_n"].to_pylist(), strict=True):
+                got: list[list] = [[] for _ in range(6)]
+                for k1, k2, raw, n in zip(*(s[k].to_pylist() for k in (*KEY, "_raw", "_n")), strict=True):
                     for k, first, windows, twice in stretches(raw, length):
-                        row = (k - (1 << 64) if k >> 63 else k, digest(raw[first : first + windows + length - 1]), key, first, windows, twice, n)
+                        row = (k - (1 << 64) if k >> 63 else k, digest(raw[first : first + windows + length - 1]), k1, k2, first << 11 | windows << 1 | twice, n)
                         for column, v in zip(got, row, strict=True):
                             column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got, kinds, strict=True)], names=names)
-
-    names = ["gram", "same", "_key", "first", "windows", "twice", "n"]
-    found = texts.where(F.length("_raw") >= length).mapInArrow(find, "gram long, same long, _key binary, first int, windows int, twice boolean, n long")
-    found = written(found, "stretches")
-    # one row for each different stretch, with a place to cut it from
-    kinds = found.groupBy("gram", "same").agg(F.sum("n").alias("n"), F.min(F.struct("_key", "first", "windows")).alias("at"), F.max("twice").alias("twice"))
-    kinds = written(kinds, "kinds")
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("many"))
-    sort_these = kinds.where("n = 1 or twice").join(per_gram, "gram").where("many > 1 or twice")
-    # a stretch found twice stands for itself among the others of its key
-    also = kinds.where("n > 1 and not twice").join(per_gram.where("many > 1"), "gram")
-    chosen = sort_these.unionByName(also).select("gram", "same", "many", "n", "at.*")
-    cut = chosen.join(texts.select("_key", "_raw"), "_key")
-    pieces = cut.select("gram", "same", "many", F.expr(f"substring(_raw, first + 1, windows + {length - 1})").alias("raw"))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got], names=["gram", "same", *KEY, "at", "n"])
+
+    found = texts.where(F.length("_raw") >= length).mapInArrow(find, "gram long, same long, _k1 long, _k2 long, at long, n long")
+    # one exchange by gram tells which stretches have an equal one and which have only others of their key
+    gram, same = Window.partitionBy("gram"), Window.partitionBy("gram", "same")
+    told = found.repartition("gram").withColumns({
+        "copies": F.sum("n").over(same),
+        "rank": F.row_number().over(same.orderBy(*KEY, "at")),
+        "many": F.count("*").over(gram),
+        "differ": F.min("same").over(gram) != F.max("same").over(gram),
+    })
+    twice = F.col("at").bitwiseAND(1) == 1
+    sorted_ = (F.col("rank") == 1) & (F.col("differ") | (twice & (F.col("copies") == 1)))
+    told = told.withColumn("sort", sorted_).where(F.col("sort") | (F.col("copies") > 1))
+    first = F.shiftright("at", 11)
+    windows = F.shiftright("at", 1).bitwiseAND(1023)
+    told = written(told.select(*KEY, "gram", "copies", "many", "sort", first.cast("int").alias("first"), windows.cast("int").alias("windows")), "stretches")
+    # those with an equal one are covered whole, and stand once among the others of their key
+    whole = told.where("copies > 1").select(*KEY, F.col("first").alias("begin"), (F.col("first") + F.col("windows") + length - 1).alias("end"))
+    cut = texts.select(*KEY, "_raw").join(told.where("sort").hint("shuffle_hash"), KEY)
+    pieces = cut.select(*KEY, "gram", "many", "first", (F.col("copies") == 1).alias("ask"), F.expr(f"substring(_raw, first + 1, windows + {length - 1})").alias("raw"))
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each stretch, or the windows of one with a key of very many by further keys: (shard, gram, same, offset, raw)."""
+        """Each stretch, or the windows of one with a key of very many by further keys."""
         for b in batches:
-            got: list[list] = [[] for _ in range(5)]
-            for gram, same, many, raw in zip(*(b[k].to_pylist() for k in ("gram", "same", "many", "raw")), strict=True):
+            got: list[list] = [[] for _ in range(6)]
+            for k1, k2, gram, many, first, ask, raw in zip(*(b[k].to_pylist() for k in (*KEY, "gram", "many", "first", "ask", "raw")), strict=True):
                 if many <= MANY:
                     parts = [(gram, 0, len(raw) - length + 1)]
                 else:
@@ -244,87 +266,84 @@ def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     edge = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1], [True]]))
                     parts = [(int(joint[x].view(np.int64)), x, y - x) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 for shard, offset, n in parts:
-                    for column, v in zip(got, (shard, gram, same, offset, raw[offset : offset + n + length - 1]), strict=True):
+                    for column, v in zip(got, (shard, k1, k2, first + offset, ask, raw[offset : offset + n + length - 1]), strict=True):
                         column.append(v)
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got, kinds_, strict=True)], names=["shard", "gram", "same", "offset", "raw"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got, kinds, strict=True)], names=["shard", *KEY, "first", "ask", "raw"])
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            hits = repeated([x[3] for x in held], length)
-            rows = [(g, s, o + a, n) for (g, s, o, _), p in zip(held, hits, strict=True) for a, n in runs(p)]
+            hits = repeated([x[4] for x in held], length)
+            rows = [(k1, k2, first + a, first + a + n + length - 1) for (k1, k2, first, ask, _), p in zip(held, hits, strict=True) if ask for a, n in runs(p)]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
-            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds_, strict=True)], names=["gram", "same", "begin", "count"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=[*KEY, "begin", "end"])
 
         for b in batches:
-            for shard, *row in zip(*(b[k].to_pylist() for k in ("shard", "gram", "same", "offset", "raw")), strict=True):
+            for shard, *row in zip(*(b[k].to_pylist() for k in ("shard", *KEY, "first", "ask", "raw")), strict=True):
                 if shard != last and size > SHARD_BYTES:
                     yield flush()
                     held, size = [], 0
                 last = shard
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield flush()
 
-    dealt = pieces.mapInArrow(split, "shard long, gram long, same long, offset int, raw binary").repartition("shard").sortWithinPartitions("shard")
-    partly = dealt.mapInArrow(sort, "gram long, same long, begin int, count int")
-    whole = kinds.where("n > 1").select("gram", "same", F.lit(0).alias("begin"), F.col("at.windows").alias("count"))
-    parts = partly.unionByName(whole)
-    spans = found.select("gram", "same", "_key", "first").join(parts, ["gram", "same"])
-    spans = spans.select("_key", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("begin") + F.col("count") + length - 1).alias("end"))
-    # spans of a text that touch are one
-    w = Window.partitionBy("_key").orderBy("begin", "end")
-    spans = spans.withColumn("new", F.coalesce(F.col("begin") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    spans = spans.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("_key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return merged.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    dealt = pieces.mapInArrow(split, "shard long, _k1 long, _k2 long, first int, ask boolean, raw binary").repartition("shard").sortWithinPartitions("shard")
+    partly = dealt.mapInArrow(sort, "_k1 long, _k2 long, begin int, end int")
+    return partly.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Spans that touch or overlap as one, in order."""
+    out: list[list[int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([begin, end])
+    return out
 
 
 def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(_key, kept, n_bytes, n_removed, n_spans) of each distinct text: kept is what remains, as bytes."""
-    rows = with_key(docs.select(text), text)
-    texts = written(rows.groupBy("_key").agg(F.first("_raw").alias("_raw"), F.count("*").alias("_n")), "texts")
+    """(_k1, _k2, kept, n_bytes, n_removed, n_spans) of each distinct text: kept is what remains, as bytes."""
+    texts = distinct_texts(docs, text)
+    # a text with a copy is covered as a whole; its stretches count as found elsewhere for the others
     copied = (F.col("_n") > 1) & (F.length("_raw") >= length)
-    # a text with a copy is covered as a whole; its stretches count twice for the others
-    spans = covered(texts, length)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in range(0, b.num_rows, 500):
                 s = b.slice(x, 500)
                 got: list[list] = [[] for _ in range(4)]
-                for raw, spans_, whole in zip(s["_raw"].to_pylist(), s["spans"].to_pylist(), s["whole"].to_pylist(), strict=True):
-                    cuts = [(0, len(raw))] if whole else [(v["begin"], v["end"]) for v in spans_ or ()]
-                    kept, at = [], 0
-                    for begin, end in cuts:
-                        kept.append(raw[at:begin])
-                        at = end
-                    kept.append(raw[at:])
-                    kept = b"".join(kept)
+                for raw, spans, whole in zip(s["_raw"].to_pylist(), s["spans"].to_pylist(), s["whole"].to_pylist(), strict=True):
+                    cuts = [[0, len(raw)]] if whole else merged((v["begin"], v["end"]) for v in spans or ())
+                    edges = [0, *(x for c in cuts for x in c), len(raw)]
+                    kept = b"".join(raw[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True))
                     for column, v in zip(got, (kept, len(raw), len(raw) - len(kept), len(cuts)), strict=True):
                         column.append(v)
                 made = [pa.array(got[0], pa.binary()), *(pa.array(v, pa.int64()) for v in got[1:])]
-                yield pa.RecordBatch.from_arrays([s["_key"], *made], names=["_key", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([s["_k1"], s["_k2"], *made], names=[*KEY, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    told = texts.join(spans, "_key", "left").select("_key", "_raw", "spans", copied.alias("whole"))
-    return told.mapInArrow(remove, "_key binary, kept binary, n_bytes long, n_removed long, n_spans long")
+    spans = covered(texts, length).hint("shuffle_hash")
+    told = texts.join(spans, KEY, "left").select(*KEY, "_raw", "spans", copied.alias("whole"))
+    return told.mapInArrow(remove, "_k1 long, _k2 long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of what remains."""
-    got = cleaned(docs, text, length).select("_key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    rows = with_key(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", "_key")
-    return rows.join(got, "_key").drop("_key")
+    got = cleaned(docs, text, length).select(*KEY, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = with_key(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", *KEY)
+    return rows.join(got, KEY).drop(*KEY)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with the remaining text of each row; characters of which a byte went lose their other bytes too."""
-    got = cleaned(docs, text, length).where("n_removed > 0").select("_key", F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))).alias("_kept"))
-    rows = with_key(docs, text).drop("_raw").join(got, "_key", "left")
-    clean = F.regexp_replace("_kept", "�", "")
+    """docs with the remaining text of each row; a character of which a byte went loses its other bytes too."""
+    got = cleaned(docs, text, length).where("n_removed > 0").select(*KEY, F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
+    rows = with_key(docs, text).drop("_raw").join(got, KEY, "left")
+    clean = F.regexp_replace("_kept", "\ufffd", "")
     return rows.withColumn(text, F.when(F.col("_kept").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
