@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the machine is fitted on, at most; they keep the classes' shares.
 TRAIN_DOCS = 10_000
 #: Candidate words that reach the driver, landmarks, and the similarity above which one landmark stands for another.
-CANDIDATES, LANDMARKS, ALIKE = 1500, 96, 0.8
+CANDIDATES, LANDMARKS, ALIKE = 600, 96, 0.8
 #: Sentences of a training document that come nearest to landmarks.
 SENTENCES = 6
 DECAY, SPAN = 0.8, 7
@@ -39,7 +39,7 @@ FAINT = 0.4
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
-STORE_WORDS = 600_000
+STORE_WORDS = 250_000
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _sentence = re.compile(r"(?<=[.!?])\s+|\n+")
 _inside = re.compile(r"(?<=\w)[\W_]+(?=\w)")
@@ -203,7 +203,7 @@ class Features:
         return np.array(rows, dtype=np.float32).reshape(-1, len(self.kernel.landmarks))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def features(landmarks: tuple[str, ...]) -> Features:
     return Features(list(landmarks))
 
