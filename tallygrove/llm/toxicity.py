@@ -39,7 +39,7 @@ FAINT = 0.4
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
-STORE_WORDS = 250_000
+STORE_WORDS = 350_000
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _sentence = re.compile(r"(?<=[.!?])\s+|\n+")
 _inside = re.compile(r"(?<=\w)[\W_]+(?=\w)")
@@ -47,10 +47,12 @@ _single = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 def symbols(words: list[str]) -> np.ndarray:
-    """Rows of character numbers (1 to 127, 1 before the first), filled up with 0."""
+    """Rows of character numbers (2 to 63, 1 before the first), filled up with 0; a to z have numbers of their own."""
     codes = np.array(words)
-    codes = codes.view("<u4").reshape(len(words), -1).astype(np.int64) if codes.itemsize else np.zeros((len(words), 1), np.int64)
-    return np.hstack([np.ones((len(words), 1), np.int64), np.where(codes < 128, codes, 2 + codes * 40503 % 30)])
+    codes = codes.view("<u4").reshape(len(words), -1).astype(np.int32) if codes.itemsize else np.zeros((len(words), 1), np.int32)
+    letter = (codes >= 97) & (codes <= 122)
+    number = np.where(letter, codes - 95, np.where(codes > 0, 28 + codes % 36, 0))
+    return np.hstack([np.ones((len(words), 1), np.int32), number])
 
 
 def subsequences(s: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -60,7 +62,7 @@ def subsequences(s: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         first, last = s[:, : n - b], s[:, b:]
         for a in range(1, b):
             middle = s[:, a : n - b + a]
-            yield np.where(last > 0, (first << 14) | (middle << 7) | last, 0), DECAY ** (b + 1)
+            yield np.where(last > 0, (first << 12) | (middle << 6) | last, 0), DECAY ** (b + 1)
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +85,7 @@ class Kernel:
         for ids, weight in subsequences(s):
             for row, column in zip(*np.nonzero(ids), strict=True):
                 found.setdefault(int(ids[row, column]), np.zeros(len(landmarks)))[row] += weight / norm[row]
-        self.row = np.zeros(1 << 21, dtype=np.int32)
+        self.row = np.zeros(1 << 18, dtype=np.int32)
         self.table = np.zeros((len(found) + 1, len(landmarks)), dtype=np.float32)
         for k, (x, v) in enumerate(found.items(), 1):
             self.row[x] = k
@@ -91,8 +93,12 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
-        for k in range(0, len(words), 4096):
-            self._some(words[k : k + 4096], out[k : k + 4096])
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))  # words of like length need little filling up
+        for k in range(0, len(words), 2048):
+            some = order[k : k + 2048]
+            found = np.zeros((len(some), len(self.landmarks)), dtype=np.float32)
+            self._some([words[x] for x in some], found)
+            out[some] = found
         return out
 
     def _some(self, words: list[str], out: np.ndarray) -> None:
@@ -119,7 +125,7 @@ class Kernel:
         ends = np.searchsorted(who, np.arange(len(near)), side="right")
         for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
             out[near[k]] = weight[a:b] @ self.table[rows[a:b]]
-        out /= lengths_weight()[(s > 0).sum(axis=1)][:, None].astype(np.float32)
+        out[near] /= lengths_weight()[(s[near] > 0).sum(axis=1)][:, None].astype(np.float32)
         out[out < FAINT] = 0
 
 
