@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Words that are at least one in so many tokens are looked up in tasks: so many words at most.
-HOT = 20_000
+HOT = 60_000
 #: Different words counted by a task before it hands its counts on.
 FLUSH = 200_000
 LOG10 = math.log(10)
@@ -173,8 +173,8 @@ def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_
 
     told = written(counted.mapInArrow(chances, "word string, c long, p double"), "chances")
     base = -math.log10(n + v + 1)
-    hot = {r.word: (r.c, r.p) for r in told.where(((F.col("c") > 0) & (F.col("c") * HOT >= F.lit(n))) | F.col("word").isNull()).collect()}
-    end = hot.get(None, (0, math.log10(new)))
+    hot = {r.word: (int(r.c > 0), math.log10(r.c + 1), r.p) for r in told.where(((F.col("c") > 0) & (F.col("c") * HOT >= F.lit(n))) | F.col("word").isNull()).collect()}
+    end = hot.get(None, (0, 0.0, math.log10(new)))
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what its end and hot words give, and a row for each of its other words."""
@@ -187,14 +187,13 @@ def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_
                 got: list[list] = [[] for _ in range(7)]
                 for key, text in zip(s["doc_id"].to_pylist(), s["text"].to_pylist(), strict=True):
                     found = Counter(words(text))
-                    tokens, known, low, high = 1, int(end[0] > 0), math.log10(end[0] + 1), end[1]
+                    tokens, (known, low, high) = 1, end
                     for w, m in found.items():
                         tokens += m
                         if w in hot:
-                            c, p = hot[w]
                             known += m
-                            low += m * math.log10(c + 1)
-                            high += m * p
+                            low += m * hot[w][1]
+                            high += m * hot[w][2]
                         else:
                             for column, x in zip(got, (row, None, w, m, None, None, None), strict=True):
                                 column.append(x)
