@@ -93,20 +93,28 @@ def qids(c: Column | str) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.concat(F.lit("Q"), F.substring(t, 2, 18).cast("bigint").cast("string"))))
 
 
-def aliases(c: Column | str, articles: tuple[str, ...] = ("the", "a", "די", "דער", "דאס"), generic: tuple[str, ...] = ()) -> Column:
-    """A name, without its article, without a trailing generic word, and without a leading generic word and `of`."""
-    base = normalize_name(c)
+#: Articles and words for "of" in folded spelling.
+ARTICLES = ("דער", "די", "דאס", "דעמ", "der", "di", "dos")
+OF = ("פונ", "fun", "fon", "von", "of", "from")
+#: Generic words of organisations in folded spelling.
+GENERIC = ("טרופע", "טרופה", "טרופעע", "טעאטער", "טעאטער-טרופע", "troupe", "theatre", "theater", "פאריינ", "פארבאנד", "געזעלשאפט", "קאמיטעט", "שול", "סטודיע")
+
+
+def aliases(c: Column | str, articles: tuple[str, ...] = ARTICLES, generic: tuple[str, ...] = GENERIC) -> Column:
+    """A folded name, without its article, without a trailing generic word, without a leading generic word and `of`, and
+    each of these without a possessive ending of its first word. Blank names have none."""
+    base = normalize_yiddish(c)
     words = F.split(base, " ")
     n = F.size(words)
     part = lambda k, m: F.array_join(F.slice(words, k, m), " ")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
-    out = [
-        base,
-        F.when((n > 1) & first.isin(*articles), part(F.lit(2), n - 1)),
-        F.when((n > 1) & last.isin(*generic), part(F.lit(1), n - 1)) if generic else F.lit(None),
-        F.when((n > 2) & first.isin(*generic) & F.get(words, F.lit(1)).isin("of", "פון"), part(F.lit(3), n - 2)) if generic else F.lit(None),
-    ]
-    return F.filter(F.array_distinct(F.array_compact(F.array(*out))), lambda x: x != "")
+    plain = [base, F.when((n > 1) & first.isin(*articles), part(F.lit(2), n - 1))]
+    if generic:
+        plain.append(F.when((n > 1) & last.isin(*generic), part(F.lit(1), n - 1)))
+        plain.append(F.when((n > 2) & first.isin(*generic) & F.get(words, F.lit(1)).isin(*OF), part(F.lit(3), n - 2)))
+    found = F.array_compact(F.array(*plain))
+    owned = F.filter(F.transform(found, lambda x: F.regexp_replace(x, "^([^ ]+)[׳'][sס](?= |$)", "$1")), lambda x: x != "")
+    return F.filter(F.array_distinct(F.concat(found, owned)), lambda x: x != "")
 
 
 def trigrams(c: Column) -> Column:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_similarity, trigrams
+from ..functions.phonetic import codes
+from ..functions.text import aliases, trigram_similarity, trigrams
 from .graph import connected_components
 
 
@@ -146,3 +147,86 @@ def with_siblings(rows: DataFrame, group: Sequence[str], flagged: Column) -> Dat
     """Flagged rows and, as context, the other rows of their groups, each once."""
     hit = rows.where(flagged).select(*group).distinct()
     return rows.join(hit, list(group), "left_semi").withColumn("row_type", F.when(flagged, "flagged").otherwise("context"))
+
+
+def ratio_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float, on: Sequence[str] = ()) -> DataFrame:
+    """(on..., a, b, ratio) for names of both sides whose Ratcliff-Obershelp ratio is at least so much; blanks match nothing.
+
+    Exact: such names share a numbered letter among the rarest few of each (a prefix filter on what a ratio needs), and
+    only candidates that meet there and whose lengths fit are compared, each different pair once.
+    """
+    need = least / (2 - least)
+
+    def keyed(d: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        letters = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col(c), k, F.lit(1)))
+        numbered = lambda x, k: F.struct((-F.size(F.filter(F.slice("_l", F.lit(1), k + 1), lambda y: y == x))).alias("k"), x.alias("x"))
+        some = d.select(*on, c).where(F.col(c) != "").distinct().withColumn("_l", letters)
+        kept = F.slice(F.array_sort(F.transform("_l", numbered)), F.lit(1), n - F.ceil(n * need - 1e-9).cast("int") + 1)
+        return some.select(*on, c, F.explode(kept).alias("_key"))
+
+    pairs = keyed(left, a).join(keyed(right, b), [*on, "_key"]).select(*on, a, b)
+    fits = least * (F.length(a) + F.length(b)) <= 2 * F.least(F.length(a), F.length(b)) + 1e-9
+    return pairs.where(fits).distinct().withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
+
+
+def location_split(rows: DataFrame, rid: str, cluster: str, exempt: Column, fields: Sequence[str], least: float = 0.8) -> DataFrame:
+    """rows with new_cluster and new_size: clusters whose rows' places don't hang together get a number for each part.
+
+    Rows hang together if one of their fields is equal or has a ratio of at least so much (the value seen first comes
+    first in it). A row without any place, or only exempt rows, keep a cluster whole. Null clusters stay as they are.
+    """
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", " ")))
+    places = F.filter(F.array(*[F.struct(F.lit(c).alias("field"), norm(c).alias("value")) for c in fields]), lambda x: x["value"] != "")
+    found = rows.select(F.col(rid).alias("_rid"), F.col(cluster).alias("_cl"), places.alias("_p"), F.coalesce(exempt, F.lit(False)).alias("_e")).where("_cl is not null")
+    loose = found.groupBy("_cl").agg(F.bool_or(F.size("_p") == 0).alias("bridge"), F.bool_and("_e").alias("free")).where("not bridge and not free").select("_cl")
+    at = found.join(loose, "_cl", "left_semi").select("_cl", "_rid", F.inline("_p"))
+    first = at.groupBy("_cl", "field", "value").agg(F.min("_rid").alias("_f"))
+    same = at.join(first, ["_cl", "field", "value"]).select("_f", "_rid")
+    i, j = (first.select("_cl", "field", F.col("value").alias(f"v{k}"), F.col("_f").alias(f"f{k}")) for k in "ij")
+    near = ratio_join(i, j, "vi", "vj", least, ["_cl", "field"])
+    near = near.join(i, ["_cl", "field", "vi"]).join(j, ["_cl", "field", "vj"]).where("fi < fj or fi = fj and vi < vj").select("fi", "fj")
+    parts = clusters(at.select("_cl", "_rid").distinct(), "_rid", same.unionByName(near.toDF("_f", "_rid")).toDF("rid_i", "rid_j")).withColumnRenamed("cluster", "_part")
+    sizes = parts.groupBy("_cl", "_part").agg(F.count("*").alias("new_size"))
+    w = Window.partitionBy("_cl")
+    numbered = sizes.withColumns({"_k": F.row_number().over(w.orderBy("_part")), "_n": F.count("*").over(w)}).where("_n > 1")
+    moved = parts.join(numbered, ["_cl", "_part"]).select("_rid", F.format_string("%s_S%02d", F.col("_cl").cast("string"), "_k").alias("new_cluster"), "new_size")
+    out = rows.join(moved, rows[rid] == moved["_rid"], "left").drop("_rid")
+    return out.withColumn("new_cluster", F.coalesce("new_cluster", F.col(cluster).cast("string")))
+
+
+def drift_repair(decisions: DataFrame, current: DataFrame, key: str, identity: Sequence[str], refresh: Sequence[str], cleared: Sequence[str]) -> DataFrame:
+    """decisions with `drift`: missing (no current row), repaired (its identity differs) or unchanged.
+
+    The refreshed columns come from the current row; a decision about a missing or different row is cleared.
+    """
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " ")))
+    every = list(dict.fromkeys([*identity, *refresh]))
+    now = current.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_now_{c}") for c in every])
+    joined = decisions.join(now, decisions[key] == now["_k"], "left")
+    differs = F.lit(False)
+    for c in identity:
+        differs = differs | (norm(F.col(c)) != norm(F.col(f"_now_{c}")))
+    joined = joined.withColumn("drift", F.when(F.col("_k").isNull(), "missing").when(differs, "repaired").otherwise("unchanged"))
+    one = lambda c: (
+        F.when(F.col("drift") == "unchanged", F.col(c)).otherwise("").alias(c) if c in cleared
+        else F.when(F.col("_k").isNull(), F.col(c)).otherwise(F.col(f"_now_{c}")).alias(c) if c in refresh else F.col(c)
+    )
+    return joined.select(*[one(c) for c in decisions.columns], "drift")
+
+
+def signal_candidates(rows: DataFrame, authority: DataFrame, name: str, rid: str, a_name: str, a_id: str, generic: Sequence[str] = (), least: float = 0.6, k: int = 5) -> DataFrame:
+    """(rid, a_id, score, method): the k best by shared alias (1), shared phonetic code (0.85) or trigrams, ties by id."""
+    a, b = rows.select(F.col(rid).alias("rid"), F.col(name).alias("a")), authority.select(F.col(a_id).alias("a_id"), F.col(a_name).alias("b"))
+    left, right = a.select("a").where("a <> ''").distinct(), b.select("b").where("b <> ''").distinct()
+
+    def meet(key, method: str, score: Column, rank: int) -> DataFrame:
+        pairs = left.withColumn("key", F.explode(key(F.col("a")))).join(right.withColumn("key", F.explode(key(F.col("b")))), "key").select("a", "b").distinct()
+        return pairs.select("a", "b", score.alias("score"), F.lit(rank).alias("rank"), F.lit(method).alias("method"))
+
+    pieces = lambda c: F.when(F.length(c) >= 3, trigrams(c)).otherwise(F.split(c, " "))
+    found = meet(lambda c: aliases(c, generic=tuple(generic)), "exact", F.lit(1.0), 2)
+    found = found.unionByName(meet(codes, "phonetic", F.lit(0.85), 1)).unionByName(meet(pieces, "fuzzy", trigram_similarity(F.col("a"), F.col("b")), 0))
+    best = found.where(F.col("score") >= least).groupBy("a", "b").agg(F.max(F.struct("score", "rank", "method")).alias("best"))
+    full = a.join(best, "a").join(b, "b").select("rid", "a_id", "best.score", "best.method")
+    return first_k(full, ["rid"], [F.desc("score"), "a_id"], k)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import phonetic
+from ..functions import records as D
 from ..functions import text as T
+from ..operators import cards, mentions, places
 from ..operators import resolve as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,3 +356,189 @@ def ratio_udf(t):
     a, b = names.withColumnRenamed("nm", "a"), names.withColumnRenamed("nm", "b")
     pairs = a.join(b, ["p_type", "p_size"]).where("a < b").select("a", "b").distinct()
     return pairs.withColumn("ratio", F.round(R.ratio(F.col("a"), F.col("b")), 4)).where("ratio >= 0.8")
+
+
+# Records, classifiers, corrections, cards.
+
+
+@query("""with f as (select o_orderkey, o_custkey c, min(o_orderkey) over (partition by o_custkey, o_orderstatus) f from orders),
+r as (select *, dense_rank() over (partition by c order by f) k from f)
+select o_orderkey, case when max(k) over (partition by c) > 1 then c || '_S' || lpad(cast(k as varchar), 2, '0') else cast(c as varchar) end as new_cluster from r""")
+def location_split(t):
+    split = R.location_split(t("orders"), "o_orderkey", "o_custkey", F.lit(False), ["o_orderstatus"])
+    return split.select("o_orderkey", "new_cluster")
+
+
+
+def part_mentions(t) -> DataFrame:
+    """Parts as mentions: names of four kinds, some without a title."""
+    return t("part").select(
+        "p_partkey", F.lit("factory").alias("org_type"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_brand"))).alias("title"),
+        F.when(F.col("p_size") % 4 == 0, F.col("p_type")).otherwise("").alias("clustered"), F.when(F.col("p_size") % 5 == 0, "the theatre").otherwise(F.col("p_type")).alias("descriptive"),
+        F.lit("").alias("settlement"), F.when(F.col("p_size") % 2 == 0, "hall").otherwise("").alias("venue"),
+    )
+
+
+LADDER = """with x as (select p_partkey, p_size % 3 = 0 untitled, p_size % 4 = 0 clu, p_size % 5 = 0 the, p_size % 2 = 0 ven, regexp_matches(p_name, '^[a-z]+ [a-z]+') person, lower(p_type) ty from part),
+y as (select *, case when untitled then 2 else 0 end + case when untitled and the then 3 else 0 end d,
+case when clu and (the or false) then 2 else 0 end + case when not untitled and person then 2 else 0 end + case when ven then 1 else 0 end p from x),
+z as (select p_partkey, case when d = 0 and p >= 4 then 'proper_name/high' when p = 0 and d >= 4 then 'descriptive_term/high' when p <= 1 and d >= 2 then 'descriptive_term/medium'
+when d <= 1 and p >= 2 then 'proper_name/medium' else 'ambiguous/low' end v from y)"""
+
+
+def classified(t) -> DataFrame:
+    return mentions.classify(part_mentions(t), t("nation").select("n_name"))
+
+
+@query(LADDER + " select p_partkey, split_part(v, '/', 1) as name_type, split_part(v, '/', 2) as confidence from z")
+def classify_ladder(t):
+    return classified(t).select("p_partkey", "name_type", "confidence")
+
+
+@query(LADDER + """ select split_part(v, '/', 1) as name_type, count(*) filter (v like '%/high') as high, count(*) filter (v like '%/medium') as medium, count(*) filter (v like '%/low') as low from z group by 1""")
+def classify_crosstab(t):
+    return mentions.crosstab(classified(t))
+
+
+@query("""select o.o_orderkey, case when o.o_orderkey % 4 = 0 then 'missing' when o.o_custkey % 3 = 0 then 'repaired' else 'unchanged' end as drift,
+case when o.o_orderkey % 4 = 0 or o.o_custkey % 3 = 0 then '' else 'ALIGN' end as decision from orders o""")
+def drift_repair(t):
+    old = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.lit("ALIGN").alias("decision"))
+    name = F.when(F.col("o_custkey") % 3 == 0, F.concat("o_orderpriority", F.lit(" x"))).otherwise(F.concat(F.lit("  "), F.upper("o_orderpriority")))
+    now = t("orders").where("o_orderkey % 4 <> 0").select("o_orderkey", name.alias("name"))
+    return R.drift_repair(old, now, "o_orderkey", ["name"], ["name"], ["decision"]).select("o_orderkey", "drift", "decision")
+
+
+@query("""with k as (select unnest(['city in Poland', 'urban district', 'concentration camp', 'sovereign state', 'former county', 'mountain', 'Jewish cemetery', 'township']) w, unnest(range(8)) i)
+select p_partkey, case i when 0 then 'settlement' when 1 then 'neighborhood' when 2 then 'death_site' when 3 then 'country' when 4 then 'province' when 5 then 'other' when 6 then 'cemetery' else 'settlement' end as category
+from part join k on i = p_size % 8""")
+def classify_substring_rules(t):
+    kinds = ["city in Poland", "urban district", "concentration camp", "sovereign state", "former county", "mountain", "Jewish cemetery", "township"]
+    label = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("p_size") % 8).cast("int"))
+    return t("part").select("p_partkey", places.category(places.type_text(F.array(label))).alias("category"))
+
+
+def part_places(t) -> DataFrame:
+    """Parts as place rows of three roles, with the columns that corrections need."""
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs)).cast("int"))
+    kind = F.get(F.array(*[F.lit(x) for x in ("province", "country", "settlement", "other")]), (F.col("p_size") % 4).cast("int"))
+    hot = [F.when(kind == c, F.col("p_name")).otherwise("").alias(c) for c in places.CATEGORIES]
+    return t("part").select(
+        "p_partkey", F.concat(F.lit("e"), F.expr("p_partkey div 3")).alias("entry_id"), F.lit("birth").alias("context"), pick("place", "province", "country").alias("source_role"), F.col("p_name").alias("source_value"),
+        F.col("p_name").alias("clustered_value"), F.when(F.col("p_size") % 5 == 0, "Q1139315").when(F.col("p_size") % 5 == 1, "Q7835").otherwise(F.concat(F.lit("Q"), F.col("p_partkey"))).alias("qid"),
+        F.lit("initial").alias("qid_source"), F.lit("").alias("wikidata_label_en"), kind.alias("resolved_category"), F.when(kind == "other", "peninsula").otherwise("").alias("other_type"),
+        F.when(F.col("p_size") % 7 == 0, "state_to_city").otherwise("").alias("correction_applied"), (F.col("p_size") % 2 == 0).alias("needs_review"),
+        F.when(F.col("p_size") % 6 == 0, "place_country_mismatch").otherwise("x").alias("review_flags"), *hot,
+    )
+
+
+PLACES = """with b as (select p_partkey id, 'e' || (p_partkey // 3) e, case p_partkey % 3 when 0 then 'place' when 1 then 'province' else 'country' end r, p_name n, p_size,
+case when p_size % 5 = 0 then 'Q1139315' when p_size % 5 = 1 then 'Q7835' else 'Q' || p_partkey end q,
+case p_size % 4 when 0 then 'province' when 1 then 'country' when 2 then 'settlement' else 'other' end k, p_size % 7 = 0 st from part)"""
+
+
+@query(PLACES + """ select id as p_partkey, case when not st and r = 'province' and q = 'Q1139315' then 'Q7835' else q end as qid,
+case when not st and ((r = 'province' and q = 'Q1139315') or q = 'Q7835') then 'province' else k end as category,
+case when st then 'state_to_city' when r = 'province' and q = 'Q1139315' then 'qid_override' when q = 'Q7835' and k <> 'province' then 'category_override' else '' end as stamp from b""")
+def qid_override(t):
+    entities = t("region").limit(1).select(F.lit("Q7835").alias("qid"), F.lit("Crimea").alias("label_en"), F.array(F.lit("peninsula")).alias("p31_labels"))
+    got = places.override(part_places(t), entities)
+    return got.select("p_partkey", "qid", F.col("resolved_category").alias("category"), F.col("correction_applied").alias("stamp"))
+
+
+@query(PLACES + """, m as (select *, case when st then null when r = 'place' and k = 'province' then 'province' when r in ('place', 'province') and k = 'country' then 'country'
+when r = 'country' and k in ('province', 'settlement') then k when r = 'country' and k = 'other' then 'other' end x from b)
+select id as p_partkey, coalesce(x, r) as source_role, case when x is not null then 'moved_to_' || x when st then 'state_to_city' else '' end as stamp from m""")
+def role_reassign(t):
+    got = places.reassign_role(part_places(t), F.lit(False))
+    return got.select("p_partkey", "source_role", F.col("correction_applied").alias("stamp"))
+
+
+@query(PLACES + """, a as (select e, min(id) anchor from b where p_size % 6 = 0 group by e)
+select id as anchor, 'flagged' as row_type, e as entry_id, n as source_value, 'https://www.wikidata.org/wiki/' || q as wikidata_url from b where p_size % 2 = 0
+union all select anchor, 'context', '', n, 'https://www.wikidata.org/wiki/' || q from b s join a using (e)
+where not exists (select 1 from b z where z.p_size % 2 = 0 and z.e = s.e and z.r = s.r and z.n = s.n and z.q = s.q)""")
+def reviewer_rows(t):
+    return places.reviewer_rows(part_places(t), "p_partkey").select("anchor", "row_type", "entry_id", "source_value", "wikidata_url")
+
+
+@query(PLACES + " select id as p_partkey, 'pending' as review_status, k as resolved_category from b where p_size % 2 = 0")
+def review_queue(t):
+    return part_places(t).where("needs_review").select("p_partkey", F.lit("pending").alias("review_status"), "resolved_category")
+
+
+def order_cards(t) -> DataFrame:
+    parts = cards.by_place(t("orders"), "o_custkey", "o_orderstatus", "o_orderpriority", ["o_orderpriority"])
+    parts = parts.withColumnsRenamed({"o_custkey": "db_id", "settlement": "place"})
+    return cards.explode(t("customer").select(F.col("c_custkey").alias("db_id"), "c_name", F.lit("").alias("place"), F.lit(0).cast("long").alias("mentions")), parts, "db_id", [F.desc("mentions"), "place"])
+
+
+CARDS = """with g as (select o_custkey c, case when trim(o_orderstatus) = '' then o_orderpriority else o_orderstatus end place, count(*) n from orders group by all),
+k as (select *, row_number() over (partition by c order by n desc, place) - 1 i from g),
+x as (select cast(c_custkey as varchar) db_id, c_name, '' place, 0 mentions, '' parent_db_id, c_custkey in (select c from g) is_exploded from customer
+union all select c || '_X' || lpad(cast(i as varchar), 2, '0'), c_name, place, n, cast(c as varchar), false from k join customer on c = c_custkey)"""
+
+
+@query(CARDS + " select * from x")
+def explode_card(t):
+    return order_cards(t)
+
+
+@query(CARDS + """ select * replace (is_exploded and not (try_cast(db_id as bigint) is not null and try_cast(db_id as bigint) % 2 = 0) as is_exploded) from x
+where parent_db_id = '' or cast(parent_db_id as bigint) % 2 <> 0""")
+def unexplode(t):
+    return cards.unexplode(order_cards(t), t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("db_id")), "db_id")
+
+
+@query("""select o_custkey, o_orderkey, row_number() over w as position, count(*) over (partition by o_custkey) as total, coalesce(lag(o_orderkey) over w, -1) as previous, coalesce(lead(o_orderkey) over w, -1) as next
+from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
+def navigation(t):
+    return cards.neighbours(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey").na.fill(-1)
+
+
+@query("""select l_orderkey * 10 + l_linenumber as pair, l_partkey as cluster, l_suppkey as other from lineitem union all select l_orderkey * 10 + l_linenumber, l_suppkey, l_partkey from lineitem""")
+def pair_index(t):
+    pairs = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair"), "l_partkey", "l_suppkey")
+    return cards.pair_index(pairs, "l_partkey", "l_suppkey", "pair")
+
+
+@query("""with a as (select p_partkey id, lower(p_name) x from part union select p_partkey, regexp_replace(lower(p_name), ' [^ ]+$', '') from part where regexp_extract(lower(p_name), '[^ ]+$') in ('ring', 'bolt', 'gear')),
+b as (select distinct x from a join part on id = p_partkey where p_size <= 5) select distinct id as p_partkey from a join b using (x)""")
+def alias_equijoin(t):
+    generic = ("ring", "bolt", "gear")
+    a = t("part").select("p_partkey", "p_size", F.explode(T.aliases("p_name", articles=("the",), generic=generic)).alias("alias"))
+    return a.join(a.where("p_size <= 5").select("alias").distinct(), "alias").select("p_partkey").distinct()
+
+
+@query("select count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (trim(coalesce(o_orderstatus, '')) = '') as undecided, count(*) as total from orders")
+def status_counts(t):
+    s = F.col("o_orderstatus")
+    return t("orders").agg(F.count_if(s == "F").alias("f"), F.count_if(s == "O").alias("o"), F.count_if(F.trim(T.text(s)) == "").alias("undecided"), F.count("*").alias("total"))
+
+
+@query("""select e.event_id, case when user_id % 2 = 0 then 'https://www.wikidata.org/wiki/Q' || user_id else 'x' end as url, event_type || '/' || user_id as latin, cast(user_id as bigint) as number, 'b-c' as xml_id, 'Main & Elm, ' || event_type as street from events e""")
+def record_fields(t):
+    e = t("events").withColumn("cell", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(" Q"), F.col("user_id"))).otherwise("x"))
+    query_, _ = D.street_query(F.lit("Main and Elm"), "event_type")
+    latin = F.concat(D.latin_words(F.concat(F.col("event_type"), F.lit(" שלום 12"))), F.lit("/"), F.col("user_id"))
+    return e.select("event_id", D.entity_url("cell").alias("url"), latin.alias("latin"), D.authority_number(F.concat(F.col("user_id"), F.lit(" | x"))).alias("number"), D.xml_id(F.lit("a-b-c")).alias("xml_id"), query_.alias("street"))
+
+
+@query()
+def phonetic_codes(t):
+    names = t("part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return names.select("word", F.array_join(phonetic.codes(F.col("word")), "|").alias("codes"))
+
+
+@query()
+def signal_candidates(t):
+    rows = t("part").select("p_partkey", T.normalize_yiddish("p_name").alias("nm"))
+    authority = t("part").where("p_size <= 10").select(T.normalize_yiddish("p_name").alias("nm"), "p_partkey").groupBy("nm").agg(F.min("p_partkey").alias("id"))
+    return R.signal_candidates(rows, authority, "nm", "p_partkey", "nm", "id", generic=("ring", "bolt", "gear"))
+
+
+@query()
+def fuzzy_membership(t):
+    known = t("part").where("p_size <= 5").select(T.match_key("p_name").alias("known")).distinct()
+    keys = t("part").select(T.match_key("p_name").alias("key")).distinct()
+    return R.ratio_join(known, keys, "known", "key", 0.8).withColumn("ratio", F.round("ratio", 4))

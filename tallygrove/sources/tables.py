@@ -29,3 +29,32 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     kind = "map<string, struct<label_en: string, label_yi: string, p31: array<string>, p17: array<string>, p131: array<string>>>"
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("qid", "e"))
     return whole.select("qid", "e.*")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the ending of its name: csv, tsv, txt, json (an array of records) or parquet; all else is an error."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("csv", "tsv", "txt"):
+        return read_tsv(spark, path, "," if kind == "csv" else "\t")
+    if kind == "json":
+        return spark.read.option("multiLine", True).option("primitivesAsString", True).json(path).na.fill("")
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"no reader for files ending in .{kind}")
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """rows to csv, tsv, txt, json or parquet by the ending of the path."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("csv", "tsv", "txt"):
+        write_tsv(rows, path, rows.columns, "," if kind == "csv" else "\t")
+    elif kind in ("json", "parquet"):
+        rows.write.format(kind).save(path)
+    else:
+        raise ValueError(f"no writer for files ending in .{kind}")
+
+
+def matcher_input(rows: DataFrame) -> DataFrame:
+    """Those columns that an outside matcher reads, if there are any; else all."""
+    want = ("source_id", "place_name", "place_name_normalized", "language")
+    return rows.select(*([c for c in want if c in rows.columns] or rows.columns))
