@@ -7,7 +7,7 @@ covering radius; so both lie within radius + half the threshold = two bits of on
 replicated to every anchor so near (16 for a half at most) and compared, whole, with the others at that anchor.
 
 Equal fingerprints are one before anything is compared. What leaves an anchor is a forest that keeps its links
-connected, never all of its pairs; components come from a distributed minimum-label search over these edges.
+connected, never all of its pairs; components come from a distributed contraction of these edges.
 
 A null or empty text has no words and the fingerprint zero, linked like any other. Rows with a null id have a
 fingerprint and a component, which their id cannot name. Rows that repeat an id each give a row. Other columns are not

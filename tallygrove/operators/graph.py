@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(vertex, component) for every vertex of an edge; component is the smallest vertex reachable.
 
     Edges are undirected; repeats, loops and rows with a null end are ignored. An empty edge table gives an empty
-    result. Each round takes the minimum over neighbours and then jumps to the label's own label, so long chains need
-    a logarithmic number of rounds. Hot vertices only meet in aggregates that combine before the shuffle.
+    result. Each round hashes the vertices anew and moves every vertex twice towards its neighbour of the smallest hash;
+    the edges between what they moved to are the next round's. A vertex has a neighbour of a smaller hash at least every
+    second time, so a round leaves about half of the vertices or fewer, in chains as well, and always fewer than before:
+    it goes on until no edge is left. Hot vertices only meet in aggregates that combine before the shuffle.
     """
+    u, v = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
-    for _ in range(max_rounds):
-        heard = (
-            e.join(labels.select(F.col("u").alias("v"), "l"), "v")
-            .select("u", "l")
-            .union(labels)
-            .groupBy("u")
-            .agg(F.min("l").alias("l"))
-        )
-        heard = written(heard, "labels")
-        up = heard.select(F.col("u").alias("l"), F.col("l").alias("up"))
-        new = written(heard.join(up, "l", "left").select("u", F.coalesce("up", "l").alias("l")), "labels")
-        changed = new.join(labels.withColumnRenamed("l", "old"), "u").where("l <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.select(F.col("u").alias("vertex"), F.col("l").alias("component"))
+    e = written(e.select(u, v).distinct(), "edges")
+    moves = []
+    while not e.isEmpty():
+        rank = lambda x: F.struct(F.xxhash64(F.lit(len(moves)), x).alias("h"), F.col(x).alias("to"))
+        both = e.select("u", rank("v").alias("r")).union(e.select(F.col("v").alias("u"), rank("u").alias("r")))
+        once = both.groupBy("u").agg(F.min("r").alias("r")).select("u", F.least("r", rank("u"))["to"].alias("to"))
+        once = written(once, "moves")
+        twice = once.join(once.select(F.col("u").alias("to"), F.col("to").alias("far")), "to").select("u", F.col("far").alias("to"))
+        moved = written(twice, "moves")
+        at_u, at_v = moved.select("u", F.col("to").alias("tu")), moved.select(F.col("u").alias("v"), F.col("to").alias("tv"))
+        e = e.join(at_u, "u").join(at_v, "v").select(F.col("tu").alias("u"), F.col("tv").alias("v")).where("u <> v")
+        e = written(e.select(u, v).distinct(), "edges")
+        moves.append(moved)
+    if not moves:
+        return e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    # where the vertices of each round end, from the last round back
+    ends = moves.pop()
+    while moves:
+        before = moves.pop()
+        after = ends.select(F.col("u").alias("to"), F.col("to").alias("end"))
+        ends = written(before.join(after, "to", "left").select("u", F.coalesce("end", "to").alias("to")), "ends")
+    least = ends.groupBy("to").agg(F.min("u").alias("component"))
+    return ends.join(least, "to").select(F.col("u").alias("vertex"), "component")

@@ -58,6 +58,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_a_shuffled_chain(spark):
+    import random
+
+    ids = random.Random(3).sample(range(10**9), 3000)
+    edges = [*zip(ids, ids[1:], strict=False), *((-k, -1) for k in range(2, 500))]
+    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {-k: -499 for k in range(1, 500)}
+
+
 def test_ancestors_with_a_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, None)], "node long, parent long")
     assert {(r.node, r.ancestor) for r in R.ancestors(e).collect()} == {(1, 2), (1, 1), (2, 1), (2, 2), (3, 1), (3, 2)}
