@@ -25,8 +25,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group with fingerprints of five-word shingles near one another (operator 3)."""
-    return simhash.one_of_each(docs, width=5)
+    """The document of the smallest id of each group with near fingerprints (operator 3) or a similarity of 0.8 or more of five-word shingles."""
+    return simhash.one_of_each(docs, width=5, alike=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,15 +28,17 @@ from ..session import written
 
 #: Links gathered before they are merged into labels.
 LINKS = 1 << 20
+#: One of so many texts, and at most so many shingles of them, tell which are frequent. They change the work, not the result.
+SAMPLED, OFTEN = 16, 50_000
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The majority bits of the hashes of all shingles, repeats included."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The hashes of all shingles, repeats included."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
@@ -45,13 +47,21 @@ def fingerprint(text: str | None, width: int) -> int:
         hashes = [digest(whole, 42)]
     else:
         hashes = [digest(whole[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())]  # noqa: B905 - one end fewer for each word of a shingle
-    table = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(table: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(table), 65536):
         ones += np.unpackbits(table[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(table), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The majority bits of the hashes of all shingles, repeats included."""
+    return majority(shingles(text, width))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, print) of every row; print is the unsigned fingerprint held in a signed long."""
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -155,18 +165,99 @@ def links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
     return near.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, threshold: int = 4) -> DataFrame:
-    """(doc_id, print, component_id): fingerprints and, for each row, the smallest doc_id reachable over links."""
+def first_fifth(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of different shingles, those of which a set of similarity 0.8 or more must share one: frequent ones come last."""
+    n = len(found)
+    order = np.argsort(often)
+    at = np.searchsorted(often, found, sorter=order)
+    known = order[np.minimum(at, len(often) - 1)] if len(often) else np.zeros(n, np.int64)
+    # the most frequent stand first in `often`, so the last here
+    late = np.where(often[known] == found, len(often) - known, 0) if len(often) else known
+    return found[np.lexsort((found, late))][: n - (4 * n + 4) // 5 + 1 if n else 0]
+
+
+def similar(docs: DataFrame, roots: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
+    """Edges (src, dst) of roots (of `roots`: print, root) with texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Similar sets share one of the first fifth of their shingles in any order that is the same for all sets, so no pair
+    is lost, whatever the order. The order puts shingles last that are frequent in a sample of texts. What shares one
+    is compared by sizes and places, then by the whole texts. Sets whose fingerprints are connected already aren't.
+    """
+    keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), F.col(text).alias("text"))
+    whole = lambda x: np.unique(shingles(x, width))
+
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(whole(x).view(np.int64))], names=["shingle"])
+
+    counts = keyed.where(F.pmod("k2", F.lit(SAMPLED)) == 0).select("text").mapInArrow(some, "shingle long").groupBy("shingle").count()
+    top = counts.where("count > 2").orderBy(F.desc("count"), "shingle").limit(OFTEN).collect()
+    often = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                s, got = b.slice(k, 500), []
+                for x in s["text"].to_pylist():
+                    table = shingles(x, width)
+                    found = np.unique(table)
+                    same = xxhash.xxh128_digest(found.tobytes())
+                    got.append((same, majority(table), len(found), first_fifth(found, often).view(np.int64)))
+                prints = pa.array(np.array([g[1] for g in got], dtype=np.uint64).view(np.int64))
+                made = [pa.array([g[0] for g in got], pa.binary()), prints, pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([s["k1"], s["k2"], *made], names=["k1", "k2", "same", "print", "n", "first"])
+
+    found = keyed.mapInArrow(sets, "k1 long, k2 long, same binary, print long, n long, first array<long>").where("n > 0")
+    one = found.groupBy("same", "print").agg(F.first(F.struct("k1", "k2", "n", "first")).alias("s")).select("print", "s.*")
+    one = written(one.join(roots.select("print", "root"), "print").withColumn("id", F.monotonically_increasing_id()), "sets")
+    spread = one.select("id", "root", "n", F.posexplode("first").alias("at", "shingle"))
+    # what the sets can share from this place on, if they shared nothing before
+    left, right = (spread.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "at"))) for k in "ab")
+    near = left.join(right, "shingle").where("id_a < id_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    near = near.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)").select("id_a", "id_b").distinct()
+    for k in "ab":
+        near = near.join(one.select(F.col("id").alias(f"id_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("k1", "k2", "root"))), f"id_{k}")
+    near = written(near.select(*(f"{c}_{k}" for k in "ab" for c in ("k1", "k2", "root"))), "near")
+    asked = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
+    texts = written(keyed.join(asked, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
+    for k in "ab":
+        near = near.join(texts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("k1", "k2", "text"))), [f"k1_{k}", f"k2_{k}"])
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                s, good = b.slice(k, 500), []
+                for x, y in zip(s["text_a"].to_pylist(), s["text_b"].to_pylist(), strict=True):
+                    p, q = whole(x), whole(y)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    good.append(5 * both >= 4 * (len(p) + len(q) - both))
+                yield s.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return near.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst"), "text_a", "text_b").mapInArrow(verify, "src long, dst long").distinct()
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, threshold: int = 4, alike: bool = False) -> DataFrame:
+    """(doc_id, print, component_id): fingerprints and, for each row, the smallest doc_id reachable over links.
+
+    With `alike`, texts whose sets of shingles have a similarity of 0.8 or more are linked as well.
+    """
     prints = written(fingerprints(docs, doc_id, text, width), "prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct.select("print"), threshold))
     rooted = distinct.join(found, distinct["print"] == found["vertex"], "left").select("print", "least", F.coalesce("component", "print").alias("root"))
     rooted = written(rooted, "rooted")
+    if alike:
+        more = connected_components(similar(docs, rooted, text, width))
+        joint = rooted.join(more, rooted["root"] == more["vertex"], "left")
+        rooted = written(joint.select("print", "least", F.coalesce("component", "root").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 4, alike: bool = False) -> DataFrame:
     """docs without those whose component holds a smaller id. Rows that repeat the id of a kept one stay; null ids stay."""
-    gone = components(docs, doc_id, text, width, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = components(docs, doc_id, text, width, threshold, alike).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

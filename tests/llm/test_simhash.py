@@ -64,3 +64,43 @@ def test_odd_rows(spark):
     assert got == [(0, 5), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5), (7, 7), (8, 8)]
     assert sorted(r.doc_id or 0 for r in simhash.one_of_each(df).collect()) == [0, 1, 3, 5, 5, 7, 8]
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_stage_finds_all_similar_texts(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    word = lambda: rnd.choice("abcdefghijklmnop") + rnd.choice("qrstuvwxyz") + str(rnd.randrange(40))
+    texts, boiler = [], [word() for _ in range(60)]
+    for k in range(60):
+        base = [word() for _ in range(rnd.randrange(6, 200))] + boiler * (k % 2)
+        texts.append(base)
+        for _ in range(3):
+            near = list(base)
+            for _ in range(rnd.randrange(1, 6)):
+                near[rnd.randrange(len(near))] = word()
+            texts.append(near)
+    texts = [" ".join(x) for x in texts] + [None, "", "A b", "a  B", "a b c"]
+    found = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for k, x in enumerate(texts) if (w := (x or "").lower().split())}
+    prints = {k: plain_print(x, 5) for k, x in enumerate(texts)}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    near = lambda j, k: (prints[j] ^ prints[k]).bit_count() <= 4 or (j in found and k in found and alike(found[j], found[k]))
+    left, kept, far = set(prints), set(), 0
+    for k in sorted(prints):
+        if k in left:
+            kept.add(k)
+            todo = [k]
+            left.remove(k)
+            while todo:
+                j = todo.pop()
+                more = {x for x in left if near(j, x)}
+                far += sum((prints[j] ^ prints[x]).bit_count() > 4 for x in more)
+                left -= more
+                todo += more
+    assert far > 20
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == kept
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == kept
