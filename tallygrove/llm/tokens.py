@@ -16,6 +16,9 @@ from functools import lru_cache
 #: Characters of pieces kept by a task before its store is emptied.
 STORE_CHARS = 10_000_000
 
+#: Marks that make a pre-token of their own after letters.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _space_before_space = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S)(?= )")
 
@@ -112,7 +115,8 @@ class PieceEncoder:
 class LibraryEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, from the tokenizers library.
 
-    New pieces go to the library's model by pre-tokens; pieces with an added token's string go to its encode().
+    New pieces go to the library's model by pre-tokens; pieces with an added token's string go to its encode(). Pieces of
+    several lines are put together from those of each line.
     """
 
     def __init__(self, path: str):
@@ -125,24 +129,32 @@ class LibraryEncoder:
         self.space = chr(self.letters[32])
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.added = re.compile("|".join(map(re.escape, vocabulary(path)[2])) or r"(?!)").search
+        self.marks = PieceStore(lambda x: array("I", [t.id for t in self.model(x)]).tobytes(), "")
+        self.line_end = array("I", [self.model(self.lettered("\n"))[0].id]).tobytes()
         self.store = PieceEncoder(self._encode)
 
     def _encode(self, x: str) -> bytes:
-        if x.isascii() and x[:1] == " ":
-            word, last = x[1:], ""
-            if x[-1] in ",.":  # a pre-token of its own after letters
-                word, last = x[1:-1], x[-1]
-            if word.isalpha():
-                ids = [t.id for t in self.model(self.space + word)]
-                if last:
-                    ids.append(self.model(last)[0].id)
+        word = x[1:]
+        if x[:1] == " " and word:
+            if word.isalpha():  # with its space one pre-token, and never an added token
+                ids = [t.id for t in self.model(self.space + (word if word.isascii() else self.lettered(word)))]
                 return array("I", ids).tobytes()
+            bare = word.rstrip(MARKS)
+            if bare.isalpha():  # marks after letters are one pre-token
+                return self.store.rest[bare] + self.marks[word[len(bare) :]]
+            if "\n" in word and (lines := word.split("\n")) == x.split():  # a line end between others is a pre-token of its own
+                head, *others = lines
+                return self.line_end.join([self.store.rest[head], *map(self.store.first.__getitem__, others)])
         if self.added(x):
             ids = self.library.encode(x, add_special_tokens=False).ids
         else:
-            ids = [t.id for y in self.split(x) for t in self.model(y.encode().decode("latin-1").translate(self.letters))]
+            ids = [t.id for y in self.split(x) for t in self.model(y if y.isascii() and y.isprintable() and " " not in y else self.lettered(y))]
         return array("I", ids).tobytes()
 
+    def lettered(self, x: str) -> str:
+        """The bytes of x, each as the letter that the vocabulary writes for it."""
+        return x.encode().decode("latin-1").translate(self.letters)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [b"".join(self.store.look_up(x)) for x in texts]
 

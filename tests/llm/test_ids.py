@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -70,6 +70,10 @@ def test_repair_files(spark, sf, docs, tmp_path):
     rows = grammar.read(spark, str(tmp_path / "a")).orderBy("start").collect()
     want = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
     assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows] == [(k, library(t, [2])) for k, t in want]
+    for k in (3, 8, 100):
+        one = grammar.read_document(spark, str(tmp_path / "a"), k).collect()
+        assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in one) == sorted(library(t, [2]) for d, t in want if d == k)
+    assert grammar.read_document(spark, str(tmp_path / "a"), 55).count() == 0
     grammar.write(docs.limit(0), str(tmp_path / "b"))
     assert grammar.read(spark, str(tmp_path / "b")).count() == 0
 
@@ -85,6 +89,9 @@ def test_repair_compresses_and_decodes_one_document(top):
     row |= {"doc_ids": np.arange(len(docs)).tobytes(), "doc_null": bytes(len(docs)), "doc_symbols": at.tobytes(), "doc_lengths": lengths.tobytes()}
     shard = grammar.Shard(row)
     assert len(seq) < lengths.sum() / 2
+    borders = set(at.tolist())
+    left = Counter((a, b) for k, (a, b) in enumerate(zip(seq.tolist(), seq[1:].tolist())) if k + 1 not in borders)  # noqa: B905 - neighbours
+    assert max(left.values()) < grammar.LEAST_COUNT
     for k in (0, 1, 77, 200):
         assert shard.document(k).tolist() == docs[k].tolist()
 
