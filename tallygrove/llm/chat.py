@@ -5,8 +5,9 @@ spans of assistant texts are intersected with the token spans by binary search.
 escaped so that only the template's own marks delimit turns, and the escape can be undone.
 
 Turns are ordered by turn, then role, then text, nulls first. Null texts and roles count as empty; repeated rows are
-turns of their own; rows with a null conv_id make up one conversation. Other columns are not carried. An empty table
-gives no conversations. A conversation is rows of one sorted partition, of which one at a time is held.
+turns of their own; a row with a null conv_id is a conversation of its own. Other columns are not carried. An empty
+table gives no conversations. A conversation is rows of one sorted partition; one at a time is held as it is put
+together, and finished ones up to GATHER rows or GATHER_BYTES.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .tokens import default_path, tokenizer
 
+#: Finished conversations of a batch, at most, and the bytes after which a batch is full.
+GATHER, GATHER_BYTES = 1000, 16_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 FORMATTED = "conv_id long, n_turns long, text string, ids binary, mask binary, spans binary, turns binary"
 _marks = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
@@ -90,27 +93,39 @@ def format_conversations(
     """One row per conversation: its text, ids, token mask, and int64 spans of loss characters and of turns."""
     path = path or default_path()
     chosen = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    dealt = chosen.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # rows without an id don't meet in one task
+    dealt = chosen.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = FORMATTED.replace(",", "").split()[::2]
 
-    def finished(key: int | None, turns: list[tuple[str, str]]) -> pa.RecordBatch:
+    def finished(key: int | None, turns: list[tuple[str, str]]) -> tuple:
         whole, loss, spans = render(turns)
         e = tokenizer(path, all_plain=True).encode(whole, add_special_tokens=False)
         mask, covered = token_mask(e.offsets, loss)
-        values = (key, len(turns), whole, np.array(e.ids, "<u4").tobytes(), mask.tobytes(), np.array(covered, "<i8").tobytes(), np.array(spans, "<i8").tobytes())
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=FORMATTED.replace(",", "").split()[::2])
+        return key, len(turns), whole, np.array(e.ids, "<u4").tobytes(), mask.tobytes(), np.array(covered, "<i8").tobytes(), np.array(spans, "<i8").tobytes()
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, turns = None, []
+        key, turns, done, size = None, [], [], 0
+
+        def gathered() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
+
         for b in batches:
             for k, who, said in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist(), strict=True):
-                if turns and k != key:
-                    yield finished(key, turns)
+                if turns and (k is None or k != key):
+                    done.append(finished(key, turns))
+                    size += 4 * len(done[-1][2])
                     turns = []
+                    if len(done) >= GATHER or size > GATHER_BYTES:
+                        yield gathered()
+                        done, size = [], 0
                 key = k
                 turns.append((who or "", said or ""))
         if turns:
-            yield finished(key, turns)
+            done.append(finished(key, turns))
+        if done:
+            yield gathered()
 
     return dealt.mapInArrow(each, FORMATTED)
 
