@@ -4,8 +4,12 @@ The pieces and ranks of an existing vocabulary give the arcs of a word's lattice
 pieces, with single bytes as the last resort. Their scores start from the vocabulary's ranks and are re-estimated once
 from the expected uses over all different words of the training documents. The forward recursion, in log space, gives
 the probability of a word summed over its segmentations. Words of the training documents also have an arc of their own
-with the share they have there; the pieces' part has the share of words met for the first time (Witten and Bell), so
-the model gives each text, as a sequence of words and an end, a proper probability.
+with the share they have there; the pieces' part has the share of words met for the first time (Witten and Bell).
+What a text has said already makes it likelier again: its tokens come from an urn that starts with CONCENTRATION parts
+of these shares and gets one part of each token drawn (Polya), so the model gives each text, as a sequence of words and
+an end, a proper probability: that is `score`. The base score isn't one of texts: all words that it doesn't know are one
+class to it, at the price of a word met once. `closed_score` is the model's probability of just what the base scores,
+words with all unknown ones as one class, and so the one to compare with the base.
 
 Counts cover all documents; the driver only sees one row per piece and the words that are at least one in HOT of all.
 Those are looked up in the tasks; other words are joined by shuffles, after counting them within each document.
@@ -33,6 +37,8 @@ from ..session import written
 HOT = 60_000
 #: Different words counted by a task before it hands its counts on.
 FLUSH = 200_000
+#: Parts of the corpus' shares in a text's urn.
+CONCENTRATION = 1000
 LOG10 = math.log(10)
 
 
@@ -103,6 +109,15 @@ class Lattice:
                 b[start] = y if x == -math.inf else y + math.log1p(math.exp(x - y))
 
 
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1: Stirling's series at x + 7, to ten digits."""
+    x = x.cast("double")
+    z, below = x + 7, x
+    for k in range(1, 7):
+        below = below * (x + k)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(below)
+
+
 def words(text: str | None) -> list[str]:
     """Words of a text with A-Z in lower case."""
     return [w.decode() for w in (text or "").encode().lower().split()]
@@ -138,7 +153,7 @@ def word_counts(docs: DataFrame, modulus: int, rest: int) -> DataFrame:
 
 
 def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, all logarithms to base 10."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and closed_score, all logarithms to base 10."""
     path = path or default_path()
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counted = written(word_counts(docs, modulus, rest), "words")
@@ -173,49 +188,63 @@ def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_
 
     told = written(counted.mapInArrow(chances, "word string, c long, p double"), "chances")
     base = -math.log10(n + v + 1)
-    hot = {r.word: (int(r.c > 0), math.log10(r.c + 1), r.p) for r in told.where(((F.col("c") > 0) & (F.col("c") * HOT >= F.lit(n))) | F.col("word").isNull()).collect()}
-    end = hot.get(None, (0, 0.0, math.log10(new)))
+    own = math.log10((1 - new) / n) if n else 0.0  # of a known word, besides its count
+    hot = {
+        r.word: (int(r.c > 0), math.log10(r.c + 1), math.log10(max(r.c, 1)), r.p * LOG10 + math.log(CONCENTRATION))
+        for r in told.where(((F.col("c") > 0) & (F.col("c") * HOT >= F.lit(n))) | F.col("word").isNull()).collect()
+    }
+    end = hot.get(None, (0, 0.0, 0.0, math.log(new * CONCENTRATION)))
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what its end and hot words give, and a row for each of its other words."""
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
+        row, exp, lgamma, get = TaskContext.get().partitionId() << 36, math.exp, math.lgamma, hot.get
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 s = b.slice(k, 500)
-                got: list[list] = [[] for _ in range(7)]
+                got: list[list] = [[] for _ in range(8)]
                 for key, text in zip(s["doc_id"].to_pylist(), s["text"].to_pylist(), strict=True):
-                    found = Counter(words(text))
-                    tokens, (known, low, high) = 1, end
-                    for w, m in found.items():
+                    tokens, (known, low, met, high) = 1, end
+                    for w, m in Counter(words(text)).items():
                         tokens += m
-                        if w in hot:
+                        if told := get(w):
                             known += m
-                            low += m * hot[w][1]
-                            high += m * hot[w][2]
+                            low += m * told[1]
+                            met += m * told[2]
+                            if m == 1:
+                                high += told[3]
+                            else:
+                                parts = exp(told[3])
+                                high += lgamma(parts + m) - lgamma(parts)
                         else:
-                            for column, x in zip(got, (row, None, w, m, None, None, None), strict=True):
+                            for column, x in zip(got, (row, None, w, m, None, None, None, None), strict=True):
                                 column.append(x)
-                    for column, x in zip(got, (row, key, None, tokens, known, low, high), strict=True):
+                    for column, x in zip(got, (row, key, None, tokens, known, low, met, high), strict=True):
                         column.append(x)
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(got, kinds, strict=True)], names=["row", "doc_id", "word", "m", "known", "low", "high"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                names = ["row", "doc_id", "word", "m", "known", "low", "met", "high"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(got, kinds, strict=True)], names=names)
 
-    found = written(docs.mapInArrow(terms, "row long, doc_id long, word string, m long, known long, low double, high double"), "terms")
+    found = written(docs.mapInArrow(terms, "row long, doc_id long, word string, m long, known long, low double, met double, high double"), "terms")
     rare = found.where("word is not null").select("row", "word", "m").join(told, "word")
+    parts = CONCENTRATION * F.pow(F.lit(10.0), "p")  # of the urn
+    again = F.when(F.col("m") > 1, log_gamma(parts + F.col("m")) - log_gamma(parts + 1)).otherwise(0.0)
     rare = rare.select(
         "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("known"),
-        (F.col("m") * F.log10(F.col("c") + 1)).alias("low"), (F.col("m") * F.col("p")).alias("high"), F.lit(0).alias("own"),
+        (F.col("m") * F.log10(F.col("c") + 1)).alias("low"), (F.col("m") * F.log10(F.greatest("c", F.lit(1)))).alias("met"),
+        (F.col("p") * LOG10 + math.log(CONCENTRATION) + again).alias("high"),
     )
-    own = found.where("word is null").select("row", "doc_id", F.col("m").alias("tokens"), "known", "low", "high", F.lit(1).alias("own"))
-    sums = own.unionByName(rare).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("low").alias("low"), F.sum("high").alias("score")
-    )
+    whole = found.where("word is null").select("row", "doc_id", F.col("m").alias("tokens"), "known", "low", "met", "high")
+    names = ("tokens", "known", "low", "met", "high")
+    sums = whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in names])
+    drawn = log_gamma(F.lit(CONCENTRATION) + F.col("tokens")) - math.lgamma(CONCENTRATION)
+    unknown = F.col("tokens") - F.col("known")
     return sums.select(
-        "doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("low") + F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
+        "doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("low") + F.col("tokens") * F.lit(base)).alias("base_score"),
+        ((F.col("high") - drawn) / LOG10).alias("score"), (F.col("met") + F.col("known") * F.lit(own) + unknown * F.lit(math.log10(new))).alias("closed_score"),
     )
 
 
