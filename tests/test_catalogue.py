@@ -1,11 +1,15 @@
 """Every query with SQL gives the same rows as DuckDB; sources and operators keep their meaning on odd rows."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.functions import text as T
 from tallygrove.operators import resolve as R
+from tallygrove.operators import graph
 from tallygrove.operators.graph import connected_components
 from tallygrove.plans import catalogue as C
 from tallygrove.sources import tables
@@ -58,13 +62,43 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_components_of_a_shuffled_chain(spark):
-    import random
-
-    ids = random.Random(3).sample(range(10**9), 3000)
-    edges = [*zip(ids, ids[1:], strict=False), *((-k, -1) for k in range(2, 500))]
-    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == dict.fromkeys(ids, min(ids)) | {-k: -499 for k in range(1, 500)}
+def union_find(edges):
+    root = {}
+
+    def of(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((of(a), of(b)))
+        root[y] = x
+    return {x: of(x) for x in root}
+
+
+@pytest.mark.parametrize("small", [0, 1000, graph.SMALL])
+def test_components_equal_union_find(spark, monkeypatch, small):
+    """A shuffled chain, a star, a grid and random edges, settled by rounds alone, by both, and by one task."""
+    rnd = random.Random(3)
+    chain = rnd.sample(range(10**9), 3000)
+    grid = {(x, y): rnd.randrange(2 * 10**9, 3 * 10**9) for x in range(20) for y in range(20)}
+    edges = [*zip(chain, chain[1:], strict=False), *((-k, -1) for k in range(2, 500))]
+    edges += [(grid[x, y], grid[z]) for x, y in grid for z in ((x + 1, y), (x, y + 1)) if z in grid]
+    edges += [(rnd.randrange(4 * 10**9, 4 * 10**9 + 2000), rnd.randrange(4 * 10**9, 4 * 10**9 + 2000)) for _ in range(900)]
+    edges = [e for e in edges if e[0] != e[1]]
+    monkeypatch.setattr(graph, "SMALL", small)
+    got = connected_components(spark.createDataFrame(pd.DataFrame(edges, columns=["src", "dst"])))
+    assert {r.vertex: r.component for r in got.collect()} == union_find(edges)
+
+
+def test_components_of_a_long_chain_and_of_strings(spark):
+    ids = random.Random(4).sample(range(10**9), 100_000)
+    edges = pd.DataFrame({"src": ids[:-1], "dst": ids[1:]})
+    got = connected_components(spark.createDataFrame(edges)).groupBy("component").count().collect()
+    assert [tuple(r) for r in got] == [(min(ids), len(ids))]
+    named = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
+    assert {r.vertex: r.component for r in connected_components(named).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
 def test_ancestors_with_a_cycle(spark):
