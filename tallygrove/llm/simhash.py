@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -176,24 +176,31 @@ def first_fifth(found: np.ndarray, often: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, late))][: n - (4 * n + 4) // 5 + 1 if n else 0]
 
 
-def similar(docs: DataFrame, roots: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """Edges (src, dst) of roots (of `roots`: print, root) with texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+TEXT_KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return chosen.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
 
-    Similar sets share one of the first fifth of their shingles in any order that is the same for all sets, so no pair
-    is lost, whatever the order. The order puts shingles last that are frequent in a sample of texts. What shares one
-    is compared by sizes and places, then by the whole texts. Sets whose fingerprints are connected already aren't.
-    """
-    keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), F.col(text).alias("text"))
-    whole = lambda x: np.unique(shingles(x, width))
+
+def frequent(texts: DataFrame, width: int) -> np.ndarray:
+    """The most frequent shingles of a sample of the texts, at most OFTEN, in order."""
 
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b["text"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(whole(x).view(np.int64))], names=["shingle"])
+            for k in range(0, b.num_rows, 500):
+                tables = [np.unique(shingles(x, width)) for x in b["text"].slice(k, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tables).view(np.int64))], names=["shingle"])
 
-    counts = keyed.where(F.pmod("k2", F.lit(SAMPLED)) == 0).select("text").mapInArrow(some, "shingle long").groupBy("shingle").count()
+    counts = texts.where(F.pmod("k2", F.lit(SAMPLED)) == 0).select("text").mapInArrow(some, "shingle long").groupBy("shingle").count()
     top = counts.where("count > 2").orderBy(F.desc("count"), "shingle").limit(OFTEN).collect()
-    often = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+    return np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+
+
+def profiles(texts: DataFrame, width: int) -> DataFrame:
+    """Per row doc_id, k1, k2, print, a digest of its set of shingles, their number, and the first fifth of them."""
+    often = frequent(texts, width)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -204,39 +211,81 @@ def similar(docs: DataFrame, roots: DataFrame, text: str = "text", width: int =
                 for x in s["text"].to_pylist():
                     table = shingles(x, width)
                     found = np.unique(table)
-                    same = xxhash.xxh128_digest(found.tobytes())
-                    got.append((same, majority(table), len(found), first_fifth(found, often).view(np.int64)))
-                prints = pa.array(np.array([g[1] for g in got], dtype=np.uint64).view(np.int64))
-                made = [pa.array([g[0] for g in got], pa.binary()), prints, pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([s["k1"], s["k2"], *made], names=["k1", "k2", "same", "print", "n", "first"])
-
-    found = keyed.mapInArrow(sets, "k1 long, k2 long, same binary, print long, n long, first array<long>").where("n > 0")
-    one = found.groupBy("same", "print").agg(F.first(F.struct("k1", "k2", "n", "first")).alias("s")).select("print", "s.*")
-    one = written(one.join(roots.select("print", "root"), "print").withColumn("id", F.monotonically_increasing_id()), "sets")
-    spread = one.select("id", "root", "n", F.posexplode("first").alias("at", "shingle"))
-    # what the sets can share from this place on, if they shared nothing before
-    left, right = (spread.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "at"))) for k in "ab")
-    near = left.join(right, "shingle").where("id_a < id_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    near = near.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)").select("id_a", "id_b").distinct()
-    for k in "ab":
-        near = near.join(one.select(F.col("id").alias(f"id_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("k1", "k2", "root"))), f"id_{k}")
-    near = written(near.select(*(f"{c}_{k}" for k in "ab" for c in ("k1", "k2", "root"))), "near")
-    asked = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
-    texts = written(keyed.join(asked, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
-    for k in "ab":
-        near = near.join(texts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("k1", "k2", "text"))), [f"k1_{k}", f"k2_{k}"])
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                s, good = b.slice(k, 500), []
-                for x, y in zip(s["text_a"].to_pylist(), s["text_b"].to_pylist(), strict=True):
-                    p, q = whole(x), whole(y)
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    good.append(5 * both >= 4 * (len(p) + len(q) - both))
-                yield s.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+                    got.append((majority(table), xxhash.xxh128_digest(found.tobytes()), len(found), first_fifth(found, often).view(np.int64)))
+                prints = pa.array(np.array([g[0] for g in got], dtype=np.uint64).view(np.int64))
+                made = [prints, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([s["doc_id"], s["k1"], s["k2"], *made], names=["doc_id", *TEXT_KEY, "print", "same", "n", "first"])
+
+    return texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, print long, same binary, n long, first array<long>")
+
 
-    return near.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst"), "text_a", "text_b").mapInArrow(verify, "src long, dst long").distinct()
+def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """(print, root) of roots (print, root) after joining those of texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Similar sets share one of the first fifth of their shingles in any order that is the same for all sets, so no pair
+    is lost, whatever the order. The order puts shingles last that are frequent in a sample of texts. Sets that share
+    one are compared by sizes and places, then as a whole: first each with one of those that share it, which joins large
+    groups by few comparisons, then all that are still apart.
+    """
+    one = rows.where("n > 0").groupBy("same", "print").agg(F.first(F.struct(*TEXT_KEY, "n", "first")).alias("s")).select("print", "s.*")
+    one = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
+    meet = Window.partitionBy("shingle")
+    spread = one.select("id", "print", "n", F.posexplode("first").alias("at", "shingle"))
+    ends = spread.withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
+    shared = written(ends.where("lead < last").select("shingle", "id", "print", "n", "at", "lead"), "shared")  # most shingles are in one set only
+
+    def verified(near: DataFrame) -> DataFrame:
+        """(src, dst): the roots of those pairs (id_a, id_b, root_a, root_b) that are similar."""
+        near = near.distinct()
+        for k in "ab":
+            near = near.join(one.select(F.col("id").alias(f"id_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in TEXT_KEY)), f"id_{k}")
+        near = written(near.select(*(f"{c}_{k}" for k in "ab" for c in (*TEXT_KEY, "root"))), "near")
+        asked = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
+        found = texts.join(asked, TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY).select(*TEXT_KEY, "text")
+
+        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, 500):
+                    s = b.slice(k, 500)
+                    made = pa.array([np.unique(shingles(x, width)).tobytes() for x in s["text"].to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([s["k1"], s["k2"], made], names=[*TEXT_KEY, "table"])
+
+        tables = written(found.mapInArrow(whole, "k1 long, k2 long, table binary"), "tables")
+        for k in "ab":
+            near = near.join(tables.select(*(F.col(c).alias(f"{c}_{k}") for c in (*TEXT_KEY, "table"))), [f"k1_{k}", f"k2_{k}"])
+
+        def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = []
+                for x, y in zip(b["table_a"], b["table_b"], strict=True):
+                    p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                    both = int((q[at] == p).sum())
+                    good.append(5 * both >= 4 * (len(p) + len(q) - both))
+                yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+        return near.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst"), "table_a", "table_b").mapInArrow(verify, "src long, dst long").distinct()
+
+    def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        more = connected_components(edges)
+        joint = roots.join(more, roots["root"] == more["vertex"], "left")
+        return written(joint.select("print", F.coalesce("component", "root").alias("root")), "joined")
+
+    fits = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+    for k in range(2):
+        at = shared.join(roots, "print")
+        side = lambda k, *more: at.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n")), *more)  # noqa: E731, B023
+        if k == 0:
+            led = one.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "print").join(roots, "print").select("id_b", "n_b", F.col("root").alias("root_b"))
+            near = side("a", F.col("lead").alias("id_b")).where("id_a <> id_b").distinct().join(led, "id_b")
+        else:
+            mixed = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+            at = written(at.join(mixed, "shingle", "left_semi"), "apart")
+            near = side("a", "shingle", F.col("at").alias("at_a")).join(side("b", "shingle", F.col("at").alias("at_b")), "shingle").where("id_a < id_b")
+            # what the sets can share from this place on, if they shared nothing before
+            near = near.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
+        roots = joined(roots, verified(near.where(fits).where("root_a <> root_b").select("id_a", "id_b", "root_a", "root_b")))
+    return roots
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, threshold: int = 4, alike: bool = False) -> DataFrame:
@@ -244,17 +293,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
     With `alike`, texts whose sets of shingles have a similarity of 0.8 or more are linked as well.
     """
-    prints = written(fingerprints(docs, doc_id, text, width), "prints")
+    texts = keyed(docs, doc_id, text)
+    prints = written(profiles(texts, width) if alike else fingerprints(docs, doc_id, text, width), "prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct.select("print"), threshold))
-    rooted = distinct.join(found, distinct["print"] == found["vertex"], "left").select("print", "least", F.coalesce("component", "print").alias("root"))
-    rooted = written(rooted, "rooted")
+    roots = distinct.join(found, distinct["print"] == found["vertex"], "left").select("print", F.coalesce("component", "print").alias("root"))
     if alike:
-        more = connected_components(similar(docs, rooted, text, width))
-        joint = rooted.join(more, rooted["root"] == more["vertex"], "left")
-        rooted = written(joint.select("print", "least", F.coalesce("component", "root").alias("root")), "rooted")
+        roots = similar(texts, prints, written(roots, "roots"), width)
+    rooted = written(distinct.join(roots, "print"), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return prints.select("doc_id", "print").join(rooted.join(least, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 4, alike: bool = False) -> DataFrame:
