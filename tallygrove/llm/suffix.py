@@ -210,12 +210,14 @@ KEY = ["_k1", "_k2"]
 def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
     """The different texts (_k1, _k2, _raw, _n: rows), as a table in buckets of their key, so joins on it move no text."""
     spark = docs.sparkSession
-    texts = with_key(docs.select(text), text).groupBy(*KEY).agg(F.first("_raw").alias("_raw"), F.count("*").alias("_n"))
+    texts = with_key(docs.select(F.col(f"`{text}`").alias("_text")), "_text").groupBy(*KEY).agg(F.first("_raw").alias("_raw"), F.count("*").alias("_n"))
     name = f"texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     to = texts.write.bucketBy(parts, *KEY).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
     to.format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay, as the plan reads them
+    return table
 
 
 def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -309,8 +311,11 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(_k1, _k2, kept, n_bytes, n_removed, n_spans) of each distinct text: kept is what remains, as bytes."""
+def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
+    """(_k1, _k2, kept, n_bytes, n_removed, n_spans) of each distinct text: kept is what remains, as bytes.
+
+    With `characters` the bytes of a character that a cut has broken are left out too.
+    """
     texts = distinct_texts(docs, text)
     # a text with a copy is covered as a whole; its stretches count as found elsewhere for the others
     copied = (F.col("_n") > 1) & (F.length("_raw") >= length)
@@ -323,8 +328,9 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
                 for raw, spans, whole in zip(s["_raw"].to_pylist(), s["spans"].to_pylist(), s["whole"].to_pylist(), strict=True):
                     cuts = [[0, len(raw)]] if whole else merged((v["begin"], v["end"]) for v in spans or ())
                     edges = [0, *(x for c in cuts for x in c), len(raw)]
-                    kept = b"".join(raw[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True))
-                    for column, v in zip(got, (kept, len(raw), len(raw) - len(kept), len(cuts)), strict=True):
+                    parts = [raw[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)]
+                    kept = b"".join(p.decode(errors="ignore").encode() for p in parts) if characters else b"".join(parts)
+                    for column, v in zip(got, (kept, len(raw), sum(q - p for p, q in cuts), len(cuts)), strict=True):
                         column.append(v)
                 made = [pa.array(got[0], pa.binary()), *(pa.array(v, pa.int64()) for v in got[1:])]
                 yield pa.RecordBatch.from_arrays([s["_k1"], s["_k2"], *made], names=[*KEY, "kept", "n_bytes", "n_removed", "n_spans"])
@@ -343,7 +349,9 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with the remaining text of each row; a character of which a byte went loses its other bytes too."""
-    got = cleaned(docs, text, length).where("n_removed > 0").select(*KEY, F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
-    rows = with_key(docs, text).drop("_raw").join(got, KEY, "left")
-    clean = F.regexp_replace("_kept", "\ufffd", "")
-    return rows.withColumn(text, F.when(F.col("_kept").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
+    got = cleaned(docs, text, length, characters=True).where("n_removed > 0").select(*KEY, F.col("kept").cast("string").alias("_kept"))
+    column = lambda c: F.col(f"`{c}`")
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), column(text).alias("_text"))  # columns of any name stay apart from ours
+    rows = with_key(whole, "_text").drop("_raw").join(got, KEY, "left")
+    remaining = F.coalesce("_kept", "_text").alias(text)
+    return rows.select(*[remaining if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -63,3 +63,17 @@ def test_odd_rows(spark, monkeypatch):
     left = suffix.remove_repeats(df)
     assert left.columns == df.columns and left.count() == len(rows)
     assert {r.text for r in left.where("doc_id in (5, 6)").collect()} == {""}
+
+
+def test_clashing_columns_and_broken_characters(spark):
+    common = "repeated words " * 20
+    texts = ["é�" + common + "�é" + "x" * 30, "other é" + common, "no cut �", "日" + "本語" * 150, "月" + "本語" * 150]
+    names = ["_raw", "_k1", "_k2", "_kept", "_row", "_text", "n_removed", "kept", "a.b"]
+    df = spark.createDataFrame([(k, x, *[f"{k}{n}" for n in names]) for k, x in enumerate(texts)], ["doc_id", "text", *names])
+    left = {r.doc_id: r for r in suffix.remove_repeats(df).collect()}
+    assert all(r.asDict()[n] == f"{k}{n}" for k, r in left.items() for n in names)
+    whole = plain(texts)
+    assert left[0].text.startswith("é�") and left[0].text.endswith("�é" + "x" * 30) and left[2].text == texts[2]
+    assert len(left[0].text.encode()) == whole[0][0] - whole[0][1]
+    assert all(len(left[k].text.encode()) <= whole[k][0] - whole[k][1] for k in left) and left[3].text[:1] == "日"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
