@@ -37,8 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage is cut and the rows survive lost executors."""
+    """df written as Parquet to the shared folder and read again: lineage is cut and the rows survive lost executors.
+
+    All that an application writes lies in one folder of its id there, to be removed when its results are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
