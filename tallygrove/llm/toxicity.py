@@ -1,12 +1,13 @@
 """Toxicity by a gap-weighted subsequence kernel with Nyström landmarks and a linear support vector machine.
 
 The kernel compares two strings by the three-character subsequences that they share, each weighted by a decay to the
-power of the stretch it spans (seven characters at most) and divided by the strings' lengths' weight, so characters
-put into or left out of an insult lower the similarity a little instead of hiding it. Landmarks are the words that
+power of the stretch it spans (seven characters at most) and divided by both strings' norms, so characters
+put into or left out of an insult lower the similarity a little instead of hiding it. The letters a to z have numbers of
+their own; all other characters share 36, so words of other scripts may be taken for one another. Landmarks are the words that
 tell the labelled documents apart best, chosen to differ from one another. A sentence's similarity to a landmark is
 that of its closest word, or run of single characters; the Nyström map whitens these similarities, and the machine is
-trained on labelled sentences: all that come near a landmark in clean documents, and in toxic ones the sentence that
-the machine finds worst, round after round. A document's score is the calibrated decision on its worst sentence.
+trained on labelled sentences: all that come near a landmark, with the label of their document, and one without for each
+document that has none or is clean. A document's score is the calibrated decision on its worst sentence.
 
 The machine is fitted on a bounded sample of labelled rows (TRAIN_DOCS, by hash of the id). Everything
 else reads whole texts of all rows. Nulls count as empty texts, which score as a sentence near no landmark. Rows with
@@ -31,18 +32,21 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 10_000
 #: Candidate words that reach the driver, landmarks, and the similarity above which one landmark stands for another.
 CANDIDATES, LANDMARKS, ALIKE = 600, 96, 0.8
-#: Sentences of a training document that come nearest to landmarks.
-SENTENCES = 6
 DECAY, SPAN = 0.8, 7
+#: The kernel's power: a product of the kernel with itself, which is a kernel too and tells exact words from like ones.
+POWER = 2
 #: Similarities below this count as none.
 FAINT = 0.4
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
 STORE_WORDS = 350_000
+#: Signs that stand for letters.
+LOOKS = str.maketrans("0134578@$", "oieastbas")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _sentence = re.compile(r"(?<=[.!?])\s+|\n+")
 _inside = re.compile(r"(?<=\w)[\W_]+(?=\w)")
+_again = re.compile(r"(.)\1+")
 _single = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
@@ -67,21 +71,33 @@ def subsequences(s: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 @lru_cache(maxsize=1)
 def lengths_weight(n: int = LONGEST + 2) -> np.ndarray:
-    """By number of symbols, the norm of a string whose subsequences all differ."""
+    """By number of symbols, the norm of a string whose subsequences all differ; no string's is less."""
     out = np.ones(n + 1)
     for k in range(3, n + 1):
         out[k] = np.sqrt(sum((k - b) * (b - 1) * DECAY ** (2 * b + 2) for b in range(2, min(SPAN, k))))
     return out
 
 
+def norms(s: np.ndarray) -> np.ndarray:
+    """The norm of each string, equal subsequences taken together; 1 for strings without any."""
+    keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for ids, weight in subsequences(s):
+        who, _ = at = np.nonzero(ids)
+        keys.append(who << 18 | ids[at])
+        weights.append(np.full(len(who), weight))
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    out = np.sqrt(np.bincount(key >> 18, np.bincount(place, np.concatenate(weights), len(key)) ** 2, len(s)))
+    return np.where(out > 0, out, 1.0)
+
+
 class Kernel:
-    """Similarities of words to landmarks."""
+    """Similarities of words to landmarks; those below `faint` count as none."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], faint: float = FAINT):
+        self.landmarks, self.faint = landmarks, faint
         found: dict[int, np.ndarray] = {}
         s = symbols(landmarks)
-        norm = lengths_weight()[(s > 0).sum(axis=1)]
+        norm = norms(s)
         for ids, weight in subsequences(s):
             for row, column in zip(*np.nonzero(ids), strict=True):
                 found.setdefault(int(ids[row, column]), np.zeros(len(landmarks)))[row] += weight / norm[row]
@@ -114,7 +130,7 @@ class Kernel:
         who, rows, weight = (np.concatenate(x) for x in hits)
         # only words with enough shared weight can come near a landmark
         most = np.bincount(who, weight * self.table.max(axis=1)[rows], len(words)) / lengths_weight()[(s > 0).sum(axis=1)]
-        near = np.flatnonzero(most >= FAINT)
+        near = np.flatnonzero(most >= self.faint)
         place = np.full(len(words), -1)
         place[near] = np.arange(len(near))
         keep = place[who] >= 0
@@ -125,8 +141,9 @@ class Kernel:
         ends = np.searchsorted(who, np.arange(len(near)), side="right")
         for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
             out[near[k]] = weight[a:b] @ self.table[rows[a:b]]
-        out[near] /= lengths_weight()[(s[near] > 0).sum(axis=1)][:, None].astype(np.float32)
-        out[out < FAINT] = 0
+        out[near] /= norms(s[near])[:, None].astype(np.float32)
+        out[out < self.faint] = 0
+        np.power(out, POWER, out=out)
 
 
 def cut(word: str) -> list[str]:
@@ -134,11 +151,18 @@ def cut(word: str) -> list[str]:
 
 
 def forms(word: str) -> Iterator[str]:
-    """A word without marks at its ends, and also without those inside, if it has any."""
-    bare = word if word.isalpha() else _edges.sub("", word)
+    """A word without marks at its ends; where it differs, also with letters once that are repeated, without marks inside, and with letters for signs that look like them."""
+    if word.isalpha():
+        yield from cut(word)
+        if (once := _again.sub(r"\1", word)) != word:
+            yield from cut(once)
+        return
+    bare = _edges.sub("", word)
     yield from cut(bare)
     if not bare.isalnum() and bare:
         yield from cut(_inside.sub("", bare))
+    if (told := _edges.sub("", word.translate(LOOKS))) != bare and not bare.isdecimal():
+        yield from cut(told)
 
 
 def gapped(text: str) -> list[str]:
@@ -154,14 +178,14 @@ class Machine:
     whiten: np.ndarray
     weight: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    decision: np.ndarray
+    chance: np.ndarray
 
     def decide(self, features: np.ndarray) -> np.ndarray:
         return features @ self.whiten @ self.weight + self.bias
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -500, 500)))
+        return np.interp(decision, self.decision, self.chance)
 
 
 class Features:
@@ -215,23 +239,29 @@ def features(landmarks: tuple[str, ...]) -> Features:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train) -> DataFrame:
-    """(text, toxic) of a bounded sample of the labelled rows that `train`, a condition on _id, allows."""
-    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    """(text, toxic) of a bounded sample of the labelled rows that `train`, a condition on _id, allows; labels but 0 and 1 count as none."""
+    told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     told = told.where(train)
     ids = F.broadcast(told.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS))  # so many rows of two numbers at most
-    return docs.join(ids, F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(ids, "_id").select("text", "toxic")
 
 
 def choose_landmarks(rows: DataFrame) -> list[str]:
-    """Words that tell the classes apart, best first, each unlike those before it."""
+    """Words of toxic documents that tell the classes apart beyond chance (likelihood ratio), best first, each unlike those before it."""
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")
     bare = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word")
     found = rows.select("toxic", word).select("toxic", bare).where(F.length("word").between(3, LONGEST))
-    counts = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    size = rows.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in size}
-    ratio = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
-    best = counts.where("bad >= 3").select("word", (ratio * F.sqrt("bad")).alias("gain"), ratio.alias("ratio")).where("ratio > 1")
+    counts = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where("bad + good >= 3")
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    every = n[0] + n[1]
+    share = lambda seen, of, size: F.when(seen > 0, 2 * seen * F.log(seen * every / (of * size))).otherwise(0.0)
+    bad, good = F.col("bad"), F.col("good")
+    met, not_met = bad + good, every - bad - good
+    gain = share(bad, met, n[1]) + share(good, met, n[0]) + share(n[1] - bad, not_met, n[1]) + share(n[0] - good, not_met, n[0])
+    # of as many words as are looked at, about one would come so far by chance
+    tested = counts.count()
+    best = counts.where(bad * n[0] > good * n[1]).select("word", gain.alias("gain")).where(F.col("gain") > 2 * np.log(max(tested, 1)))
     names = [r.word for r in best.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
     if not names:
         return []
@@ -281,41 +311,41 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Machine | None:
                 texts = [x.lower() for x in b["text"].slice(k, 200).to_pylist()]
                 f.learn(texts)
                 for text, toxic in zip(texts, b["toxic"].slice(k, 200).to_pylist(), strict=True):
-                    x = f.sentences(text)
-                    x = x[np.argsort(-x.max(axis=1), kind="stable")[:SENTENCES]] if len(x) else x
+                    x = np.unique(f.sentences(text), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([x.astype("<f4").tobytes()])], names=["toxic", "x"])
 
-    bags = rows.repartition(16).mapInArrow(each, "toxic int, x binary").collect()  # at most TRAIN_DOCS * SENTENCES rows of features
+    bags = rows.repartition(16).mapInArrow(each, "toxic int, x binary").collect()  # the different sentences near a landmark of TRAIN_DOCS documents
     bags = sorted((r.toxic, bytes(r.x)) for r in bags)
     m = len(landmarks)
-    gram = Kernel(landmarks)(landmarks).astype(float)
+    gram = Kernel(landmarks, 0.0)(landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-3 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
     none = np.zeros((1, m), np.float32)
     bag = [np.concatenate([none, np.frombuffer(x, "<f4").reshape(-1, m)]) for _, x in bags]
     toxic = np.array([t for t, _ in bags]) == 1
-    pick = [x[np.argmax(x.max(axis=1))] for x in bag]
-    clean = np.concatenate([x for x, t in zip(bag, toxic, strict=True) if not t])
-    machine = None
-    for _ in range(4):
-        x = np.concatenate([clean, [p for p, t in zip(pick, toxic, strict=True) if t]])
-        y = np.concatenate([-np.ones(len(clean)), np.ones(toxic.sum())])
-        w, b = svm(x @ whiten, y, 0.1)
-        machine = Machine(landmarks, whiten, w, b, 1.0, 0.0)
-        pick = [p[np.argmax(machine.decide(p))] for p in bag]
+    x = np.concatenate([p[1:] if t and len(p) > 1 else p for p, t in zip(bag, toxic, strict=True)])
+    y = np.concatenate([np.full(len(p) - (t and len(p) > 1), 1.0 if t else -1.0) for p, t in zip(bag, toxic, strict=True)])
+    w, b = svm(x @ whiten, y, 0.1)
+    machine = Machine(landmarks, whiten, w, b, np.zeros(1), np.zeros(1))
     worst = np.array([machine.decide(p).max() for p in bag])
-    # Platt's calibration by Newton steps, each class as often as in the labels' sample
-    z, t = np.stack([worst, np.ones(len(worst))], axis=1), toxic.astype(float)
-    t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
-    v = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
-        v = v + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (t - p))
-    machine.slope, machine.shift = float(v[0]), float(v[1])
+    machine.decision, machine.chance = calibrated(worst, toxic.astype(float))
     return machine
 
 
+def calibrated(decision: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions and the chances there: the share of toxic rows, rising with the decision (pooled where it wouldn't)."""
+    at, where, count = np.unique(decision, return_inverse=True, return_counts=True)
+    pools: list[list[float]] = []  # sum of decisions, of toxic rows, rows
+    for z, t, n in zip(at.tolist(), np.bincount(where, toxic).tolist(), count.tolist(), strict=True):
+        pools.append([z * n, t, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    z, t, n = np.array(pools).T
+    return z / n, np.maximum.accumulate((t + 0.5) / (n + 1))
+
+
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) of every row: the probability that its worst sentence is toxic."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))

@@ -16,17 +16,17 @@ def plain(a, b):
             if k - i < toxicity.SPAN:
                 key = (s[i], s[j], s[k])
                 out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
-        return out, toxicity.lengths_weight()[int((s > 0).sum())]
+        return out, sum(v * v for v in out.values()) ** 0.5 or 1.0
 
     (x, m), (y, n) = table(a), table(b)
     return sum(v * y.get(k, 0) for k, v in x.items()) / (m * n)
 
 
 def test_kernel_equals_the_plain_sum():
-    marks, words = ["idiot", "worthless", "réeux"], ["idiot", "i*d*i*o*t", "idxiot", "worthles", "th", "", "réeuxpa", "a" * 32]
+    marks, words = ["idiot", "worthless", "réeux"], ["idiot", "i*d*i*o*t", "idxiot", "worthles", "th", "", "réeuxpa", "a" * 32, "idididid", "worthworthworth"]
     got = toxicity.Kernel(marks)(words)
     want = np.array([[plain(w, m) for m in marks] for w in words])
-    assert np.allclose(got, np.where(want < toxicity.FAINT, 0, want), atol=1e-5)
+    assert np.allclose(got, np.where(want < toxicity.FAINT, 0, want) ** toxicity.POWER, atol=1e-5)
 
 
 def test_held_out_accuracy(spark):
@@ -45,12 +45,19 @@ def test_held_out_accuracy(spark):
 def test_gapped_insults_and_odd_rows(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     machine = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "true")
-    said = ["you idiot", "an i d i o t here", "t.r.a.s.h", "idiiot", "w-o-r-t-h-l-e-s-s", "the and of tion", "", None, "the and " * 60000]
+    said = ["you idiot", "an i d i o t here", "t.r.a.s.h", "idiiot", "w-o-r-t-h-l-e-s-s", "the and of tion", "", None, "the and " * 60000, "such a m0ron!", "tr@$h", "2024 10 07"]
     rows = [(k, x, 0.5) for k, x in enumerate(said)] + [(None, "you idiot", 0.0), (0, "you idiot", 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.score >= 0.5) for r in toxicity.score(df, machine).collect())
-    assert got == [(-1, True), (0, True), (0, True), (1, True), (2, True), (3, True), (4, True), (5, False), (6, False), (7, False), (8, False)]
+    assert got == [(-1, True), (0, True), (0, True), (1, True), (2, True), (3, True), (4, True), (5, False), (6, False), (7, False), (8, False), (9, True), (10, True), (11, False)]
     assert toxicity.score(df.limit(0), machine).count() == 0
     none = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(df, none, "true") is None and {r.score for r in toxicity.score(df, None).collect()} == {0.0}
     assert toxicity.keep(df, none).count() == len(rows)
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate((0, 2, 1, None, 0, -1))] + [(None, 1)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(df, toxicity.fit(df, odd, "true")).collect()} == {0.0}
+
+
+def test_calibration_pools_what_does_not_rise():
+    z, p = toxicity.calibrated(np.array([3.0, 1, 2, 2, 4, 0]), np.array([1.0, 1, 0, 0, 1, 0]))
+    assert z.tolist() == [0.0, 5 / 3, 3.5] and np.allclose(p, [0.25, 0.375, 2.5 / 3])
