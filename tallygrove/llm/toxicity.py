@@ -40,7 +40,7 @@ FAINT = 0.4
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
-STORE_WORDS = 350_000
+STORE_WORDS = 280_000
 #: Signs that stand for letters.
 LOOKS = str.maketrans("0134578@$", "oieastbas")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
