@@ -177,6 +177,27 @@ def first_fifth(found: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 TEXT_KEY = ["k1", "k2"]
+#: Texts asked for by a broadcast of their keys, at most (16 bytes each); more are joined by a shuffle.
+ASKED = 500_000
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """A bitmap of different shingles by their low bits, of 4 to 8 bits a shingle, its size a power of two."""
+    size = max(64, 4 << int(len(found)).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[found.view(np.uint64) & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_share(x: bytes, n: int, y: bytes, m: int) -> int:
+    """No fewer than the shingles that sets of n and m have in common, by their bitmaps: common bits, and what may share a bit."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    count = lambda v: int(np.bitwise_count(v).sum())
+    return count(a & b) + min(n - count(a), m - count(b))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -199,7 +220,7 @@ def frequent(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def profiles(texts: DataFrame, width: int) -> DataFrame:
-    """Per row doc_id, k1, k2, print, a digest of its set of shingles, their number, and the first fifth of them."""
+    """Per row doc_id, k1, k2, print, a digest of its set of shingles, their number, the first fifth of them, and a sketch."""
     often = frequent(texts, width)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +232,12 @@ def profiles(texts: DataFrame, width: int) -> DataFrame:
                 for x in s["text"].to_pylist():
                     table = shingles(x, width)
                     found = np.unique(table)
-                    got.append((majority(table), xxhash.xxh128_digest(found.tobytes()), len(found), first_fifth(found, often).view(np.int64)))
+                    got.append((majority(table), xxhash.xxh128_digest(found.tobytes()), len(found), first_fifth(found, often).view(np.int64), sketch(found)))
                 prints = pa.array(np.array([g[0] for g in got], dtype=np.uint64).view(np.int64))
-                made = [prints, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([s["doc_id"], s["k1"], s["k2"], *made], names=["doc_id", *TEXT_KEY, "print", "same", "n", "first"])
+                made = [prints, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64())), pa.array([g[4] for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([s["doc_id"], s["k1"], s["k2"], *made], names=["doc_id", *TEXT_KEY, "print", "same", "n", "first", "bits"])
 
-    return texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, print long, same binary, n long, first array<long>")
+    return texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, print long, same binary, n long, first array<long>, bits binary")
 
 
 def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) -> DataFrame:
@@ -224,67 +245,68 @@ def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) ->
 
     Similar sets share one of the first fifth of their shingles in any order that is the same for all sets, so no pair
     is lost, whatever the order. The order puts shingles last that are frequent in a sample of texts. Sets that share
-    one are compared by sizes and places, then as a whole: first each with one of those that share it, which joins large
-    groups by few comparisons, then all that are still apart.
+    one are compared by size, then by bitmaps that never tell of too few common shingles, then as a whole: first each
+    with one of those that share it, which joins large groups by few comparisons, then all that are still apart.
     """
-    one = rows.where("n > 0").groupBy("same", "print").agg(F.first(F.struct(*TEXT_KEY, "n", "first")).alias("s")).select("print", "s.*")
+    one = rows.where("n > 0").groupBy("same", "print").agg(F.first(F.struct(*TEXT_KEY, "n", "first", "bits")).alias("s")).select("print", "s.*")
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
     meet = Window.partitionBy("shingle")
-    spread = one.select("id", "print", "n", F.posexplode("first").alias("at", "shingle"))
-    ends = spread.withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
-    shared = written(ends.where("lead < last").select("shingle", "id", "print", "n", "at", "lead"), "shared")  # most shingles are in one set only
+    ends = one.select("id", F.explode("first").alias("shingle")).withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
+    shared = written(ends.where("lead < last").select("shingle", "id", "lead"), "shared")  # most shingles are in one set only
+
+    def fitting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = (b[c].to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b"))
+            good = [9 * may_share(x, n, y, m) >= 4 * (n + m) for x, n, y, m in zip(*columns, strict=True)]
+            yield b.select([f"{c}_{k}" for k in "ab" for c in (*TEXT_KEY, "root")]).filter(pa.array(good, pa.bool_()))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                s = b.slice(k, 500)
+                made = pa.array([np.unique(shingles(x, width)).tobytes() for x in s["text"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([s["k1"], s["k2"], made], names=[*TEXT_KEY, "table"])
 
-    def verified(near: DataFrame) -> DataFrame:
-        """(src, dst): the roots of those pairs (id_a, id_b, root_a, root_b) that are similar."""
-        near = near.distinct()
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b["table_a"], b["table_b"], strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                both = int((q[at] == p).sum())
+                good.append(5 * both >= 4 * (len(p) + len(q) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst): the roots of those pairs (id_a, id_b) of sets with different roots that are similar."""
+        for k in "ab":
+            near = near.join(sets.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", *TEXT_KEY))), f"id_{k}")
+        near = near.where("root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
         for k in "ab":
-            near = near.join(one.select(F.col("id").alias(f"id_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in TEXT_KEY)), f"id_{k}")
-        near = written(near.select(*(f"{c}_{k}" for k in "ab" for c in (*TEXT_KEY, "root"))), "near")
+            near = near.join(one.select(F.col("id").alias(f"id_{k}"), F.col("bits").alias(f"bits_{k}")), f"id_{k}")
+        kinds = ", ".join(f"{c}_{k} long" for k in "ab" for c in (*TEXT_KEY, "root"))
+        near = written(near.mapInArrow(fitting, kinds), "near")
         asked = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
+        asked = F.broadcast(asked) if 2 * near.count() <= ASKED else asked
         found = texts.join(asked, TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY).select(*TEXT_KEY, "text")
-
-        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k in range(0, b.num_rows, 500):
-                    s = b.slice(k, 500)
-                    made = pa.array([np.unique(shingles(x, width)).tobytes() for x in s["text"].to_pylist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([s["k1"], s["k2"], made], names=[*TEXT_KEY, "table"])
-
         tables = written(found.mapInArrow(whole, "k1 long, k2 long, table binary"), "tables")
         for k in "ab":
             near = near.join(tables.select(*(F.col(c).alias(f"{c}_{k}") for c in (*TEXT_KEY, "table"))), [f"k1_{k}", f"k2_{k}"])
-
-        def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                good = []
-                for x, y in zip(b["table_a"], b["table_b"], strict=True):
-                    p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    both = int((q[at] == p).sum())
-                    good.append(5 * both >= 4 * (len(p) + len(q) - both))
-                yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
-
         return near.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst"), "table_a", "table_b").mapInArrow(verify, "src long, dst long").distinct()
 
-    def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
-        more = connected_components(edges)
-        joint = roots.join(more, roots["root"] == more["vertex"], "left")
-        return written(joint.select("print", F.coalesce("component", "root").alias("root")), "joined")
-
-    fits = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
     for k in range(2):
-        at = shared.join(roots, "print")
-        side = lambda k, *more: at.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n")), *more)  # noqa: E731, B023
+        sets = written(one.select("id", "print", "n", *TEXT_KEY).join(roots, "print").drop("print"), "rooted")
         if k == 0:
-            led = one.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "print").join(roots, "print").select("id_b", "n_b", F.col("root").alias("root_b"))
-            near = side("a", F.col("lead").alias("id_b")).where("id_a <> id_b").distinct().join(led, "id_b")
+            near = shared.where("id <> lead").select(F.col("id").alias("id_a"), F.col("lead").alias("id_b")).distinct()
         else:
+            at = shared.select("shingle", "id").join(sets.select("id", "root"), "id")
             mixed = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
             at = written(at.join(mixed, "shingle", "left_semi"), "apart")
-            near = side("a", "shingle", F.col("at").alias("at_a")).join(side("b", "shingle", F.col("at").alias("at_b")), "shingle").where("id_a < id_b")
-            # what the sets can share from this place on, if they shared nothing before
-            near = near.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
-        roots = joined(roots, verified(near.where(fits).where("root_a <> root_b").select("id_a", "id_b", "root_a", "root_b")))
+            left, right = (at.select("shingle", F.col("id").alias(f"id_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
+            near = left.join(right, "shingle").where("id_a < id_b and root_a <> root_b").select("id_a", "id_b").distinct()
+        more = connected_components(verified(near, sets))
+        joint = roots.join(more, roots["root"] == more["vertex"], "left")
+        roots = written(joint.select("print", F.coalesce("component", "root").alias("root")), "joined")
     return roots
 
 

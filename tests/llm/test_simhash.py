@@ -104,3 +104,13 @@ def test_stage_finds_all_similar_texts(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == kept
     monkeypatch.setattr(simhash, "SAMPLED", 1)
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == kept
+
+
+def test_sketches_never_tell_too_few():
+    rnd = np.random.default_rng(7)
+    for n, m, both in ((1, 1, 1), (5, 3, 2), (100, 90, 80), (700, 1500, 600), (40, 40, 0), (3000, 2500, 2400)):
+        x = rnd.integers(0, 2**64, n + m - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        told = simhash.may_share(simhash.sketch(a), n, simhash.sketch(b), m)
+        assert told == simhash.may_share(simhash.sketch(b), m, simhash.sketch(a), n)
+        assert both <= told <= both + 0.35 * max(n, m) + 2
