@@ -251,8 +251,8 @@ def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) ->
     one = rows.where("n > 0").groupBy("same", "print").agg(F.first(F.struct(*TEXT_KEY, "n", "first", "bits")).alias("s")).select("print", "s.*")
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
     meet = Window.partitionBy("shingle")
-    ends = one.select("id", F.explode("first").alias("shingle")).withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
-    shared = written(ends.where("lead < last").select("shingle", "id", "lead"), "shared")  # most shingles are in one set only
+    ends = one.select("id", F.posexplode("first").alias("at", "shingle")).withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
+    shared = written(ends.where("lead < last").select("shingle", "id", "at", "lead"), "shared")  # most shingles are in one set only
 
     def fitting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,11 +299,13 @@ def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) ->
         if k == 0:
             near = shared.where("id <> lead").select(F.col("id").alias("id_a"), F.col("lead").alias("id_b")).distinct()
         else:
-            at = shared.select("shingle", "id").join(sets.select("id", "root"), "id")
+            at = shared.select("shingle", "id", "at").join(sets.select("id", "root", "n"), "id")
             mixed = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
             at = written(at.join(mixed, "shingle", "left_semi"), "apart")
-            left, right = (at.select("shingle", F.col("id").alias(f"id_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
-            near = left.join(right, "shingle").where("id_a < id_b and root_a <> root_b").select("id_a", "id_b").distinct()
+            left, right = (at.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "at"))) for k in "ab")
+            near = left.join(right, "shingle").where("id_a < id_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+            # what the sets can share from this place on, if they shared nothing before
+            near = near.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)").select("id_a", "id_b").distinct()
         more = connected_components(verified(near, sets))
         joint = roots.join(more, roots["root"] == more["vertex"], "left")
         roots = written(joint.select("print", F.coalesce("component", "root").alias("root")), "joined")
