@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,23 +66,19 @@ def codes_of(name: str | None) -> list[str]:
         after = letters[at + n : at + n + 1]
         sounds.append(TABLE[letters[at : at + n]][0 if at == 0 else 1 if after and after in "AEIOU" else 2])
         at += n
-    found = set()
-    for choice in product(*sounds) if sounds else ():
-        digits, last = "", ""
-        for code in choice:
-            mark = "" if code == "-" else code
-            if mark and not (last.endswith(mark) and mark != "66"):
-                digits += mark
-            last = mark
-        found.add(digits[:6].ljust(6, "0"))
-    return sorted(found)
+    # all readings at once: the digits so far, six at most, and the last sound
+    readings = {("", "")} if sounds else set()
+    for choices in sounds:
+        marks = ["" if c == "-" else c for c in choices]
+        readings = {((digits + m if m and (m == "66" or not last.endswith(m)) else digits)[:6], m) for digits, last in readings for m in marks}
+    return sorted({digits.ljust(6, "0") for digits, _ in readings})
 
 
 def codes(c: Column) -> Column:
-    """Array of codes; in Python, so for distinct names. Names of over 40 letters are coded by their words' starts up to there."""
+    """Array of codes of whole names; in Python, so for distinct names."""
 
     @F.pandas_udf("array<string>")
     def of(names: pd.Series) -> pd.Series:
         return names.map(codes_of)
 
-    return of(F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z]+", ""), 1, 40))
+    return of(c)

@@ -83,7 +83,11 @@ def keep_unresolved(rows: DataFrame, authority: DataFrame, on: Column, reasons:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """old with blank values filled from new, a conflict flag where both differ, and the rows only new has."""
+    """old with blank values filled from new, a conflict flag where both differ, and the rows only new has.
+
+    A key that new repeats counts once, with its least value.
+    """
+    new = new.groupBy(key).agg(F.min(value).alias(value))
     n = new.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     blank = F.coalesce(F.trim(value), F.lit("")) == ""
     merged = old.join(n, old[key] == n["_k"], "left").select(
@@ -103,12 +107,14 @@ def stratified(rows: DataFrame, stratum: str, targets: dict[str, int], order: Co
 
 
 def latest(log: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """The last decision of each key of an append-only log."""
-    return first_k(log, [key], [F.desc(ts), F.desc(tie)], 1)
+    """The last decision of each key of an append-only log; combined before the shuffle, so a key of many decisions is no load."""
+    last = log.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*log.columns), F.struct(ts, tie)).alias("_last"))
+    return last.select("_last.*")
 
 
 def merge_identities(rows: DataFrame, losers: DataFrame, key: str) -> DataFrame:
-    """rows with `survivor`: losers (loser, survivor) are rewritten, all others are their own."""
+    """rows with `survivor`: losers (loser, survivor) are rewritten, all others are their own; of a loser's survivors the least counts."""
+    losers = losers.groupBy("loser").agg(F.min("survivor").alias("survivor"))
     return rows.join(losers, rows[key] == losers["loser"], "left").withColumn("survivor", F.coalesce("survivor", key)).drop("loser")
 
 

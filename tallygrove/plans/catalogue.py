@@ -124,9 +124,9 @@ def db_membership(t):
     return t("part").withColumn("key", T.match_key("p_name")).join(known, "key", "left_semi").select("p_partkey")
 
 
-@query("select p_partkey from part p where not exists (select 1 from part q where q.p_size <= 5 and lower(q.p_name) = lower(p.p_name))")
+@query("select p_partkey from part p where not exists (select 1 from part q where q.p_size <= 5 and q.p_partkey % 3 = 0 and lower(q.p_name) = lower(p.p_name))")
 def not_in_db(t):
-    known = t("part").where("p_size <= 5").select(T.match_key("p_name").alias("key"))
+    known = t("part").where("p_size <= 5 and p_partkey % 3 = 0").select(T.match_key("p_name").alias("key"))
     return t("part").withColumn("key", T.match_key("p_name")).join(known, "key", "left_anti").select("p_partkey")
 
 
@@ -352,10 +352,9 @@ def next_id(t):
 
 @query()
 def ratio_udf(t):
-    names = t("part").select(F.lower("p_name").alias("nm"), "p_type", "p_size").distinct()
-    a, b = names.withColumnRenamed("nm", "a"), names.withColumnRenamed("nm", "b")
-    pairs = a.join(b, ["p_type", "p_size"]).where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("ratio", F.round(R.ratio(F.col("a"), F.col("b")), 4)).where("ratio >= 0.8")
+    names = t("part").select(F.lower("p_name").alias("a"), "p_type", "p_size").distinct()
+    pairs = R.ratio_join(names, names.withColumnRenamed("a", "b"), "a", "b", 0.8, ["p_type", "p_size"])
+    return pairs.where("a < b").select("a", "b", F.round("ratio", 4).alias("ratio")).distinct()
 
 
 # Records, classifiers, corrections, cards.
@@ -441,7 +440,7 @@ case p_size % 4 when 0 then 'province' when 1 then 'country' when 2 then 'settle
 case when not st and ((r = 'province' and q = 'Q1139315') or q = 'Q7835') then 'province' else k end as category,
 case when st then 'state_to_city' when r = 'province' and q = 'Q1139315' then 'qid_override' when q = 'Q7835' and k <> 'province' then 'category_override' else '' end as stamp from b""")
 def qid_override(t):
-    entities = t("region").limit(1).select(F.lit("Q7835").alias("qid"), F.lit("Crimea").alias("label_en"), F.array(F.lit("peninsula")).alias("p31_labels"))
+    entities = t("part").sparkSession.createDataFrame([("Q7835", "Crimea", ["peninsula"])], "qid string, label_en string, p31_labels array<string>")
     got = places.override(part_places(t), entities)
     return got.select("p_partkey", "qid", F.col("resolved_category").alias("category"), F.col("correction_applied").alias("stamp"))
 

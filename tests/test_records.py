@@ -139,3 +139,27 @@ def test_tables_by_ending(spark, tmp_path):
         assert sorted(map(tuple, tables.read_table(spark, f"{tmp_path}/t.{kind}").collect())) == [("a", 'x "y"'), ("b", "")]
     with pytest.raises(ValueError):
         tables.read_table(spark, "t.xls")
+
+
+def test_phonetic_codes_of_long_names():
+    from itertools import product
+
+    from tallygrove.functions import phonetic
+
+    assert phonetic.codes_of("C" * 1000) and phonetic.codes_of("aeiou" * 60 + "Cholz") == phonetic.codes_of("aeiou" * 60 + "Cholz" + "!")
+    for name in ("CJCH", "RZCKJ", "Peterson", "Jackson", "Schwarzenegger", "CHRZCKJM", "MNNM"):
+        at, sounds = 0, []
+        while at < len(name):
+            n = next(n for n in range(phonetic.LONGEST, 0, -1) if name[at : at + n].upper() in phonetic.TABLE)
+            after = name[at + n : at + n + 1].upper()
+            sounds.append(phonetic.TABLE[name[at : at + n].upper()][0 if at == 0 else 1 if after and after in "AEIOU" else 2])
+            at += n
+        want = set()
+        for choice in product(*sounds):
+            digits, last = "", ""
+            for code in choice:
+                mark = "" if code == "-" else code
+                digits += mark if mark and not (last.endswith(mark) and mark != "66") else ""
+                last = mark
+            want.add(digits[:6].ljust(6, "0"))
+        assert phonetic.codes_of(name) == sorted(want)
