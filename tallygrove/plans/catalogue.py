@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import phonetic
 from ..functions import records as D
 from ..functions import text as T
-from ..operators import cards, mentions, places
+from ..operators import activity, cards, mentions, places
 from ..operators import resolve as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,3 +541,54 @@ def fuzzy_membership(t):
     known = t("part").where("p_size <= 5").select(T.match_key("p_name").alias("known")).distinct()
     keys = t("part").select(T.match_key("p_name").alias("key")).distinct()
     return R.ratio_join(known, keys, "known", "key", 0.8).withColumn("ratio", F.round("ratio", 4))
+
+
+# Decisions of people.
+
+STAMPED = """with f as (select case event_type when 'click' then 'Pairs' else 'Cards' end as source, 'r' || user_id % 4 as reviewer, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, strftime(ts, '%Y-%m-%d') as day,
+case when event_type = 'click' then 'c' || event_id when event_id % 2 = 0 then 'd' || event_id else 'p' || event_id end as id, case event_type when 'click' then 'MERGE' else 'name ' || user_id end as label,
+case event_type when 'click' then 'MERGE' else '' end as decision from events where event_type in ('click', 'view') and user_id % 4 <> 3)"""
+
+
+def stamped(t) -> DataFrame:
+    e = t("events").withColumns({
+        "reviewer": F.when(F.col("user_id") % 4 == 3, "  ").otherwise(F.concat(F.lit(" r"), F.col("user_id") % 4)),
+        "reviewed_at": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+    })
+    pairs = e.where("event_type = 'click'").select("reviewer", "reviewed_at", F.concat(F.lit("c"), "event_id").alias("cluster_id"), F.lit("MERGE").alias("decision"))
+    own = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("d"), "event_id")).otherwise(" ")
+    cards_ = e.where("event_type = 'view'").select("reviewer", "reviewed_at", own.alias("db_id"), F.concat(F.lit("p"), "event_id").alias("pair_id"), F.concat(F.lit("name "), "user_id").alias("name"))
+    return activity.feed({"Pairs": pairs, "Cards": cards_, "Unstamped": t("part")})
+
+
+@query(STAMPED + " select * from f")
+def activity_feed(t):
+    return stamped(t)
+
+
+@query(STAMPED + " select reviewer, count(*) as total, count(*) filter (source = 'Pairs') as \"Pairs\", count(*) filter (source = 'Cards') as \"Cards\" from f where reviewer in ('r0', 'r1') and day >= '2024-01-10' group by reviewer")
+def activity_by_reviewer(t):
+    return activity.totals(activity.visible(stamped(t), ["r0", "r1"], ["Pairs", "Cards"], "2024-01-10"), ["Pairs", "Cards"])
+
+
+@query(STAMPED + " select day, count(*) as total, count(*) filter (reviewer = 'r0') as r0, count(*) filter (reviewer = 'r2') as r2 from f group by day")
+def activity_day_pivot(t):
+    return activity.by_day(stamped(t), ["r0", "r2"])
+
+
+@query("""with g as (select unnest(list_filter([case when l_quantity > 45 then 'large' end, case when l_discount > 0.05 then 'cheap' end, case when l_returnflag = 'R' then 'returned' end, l_linestatus], lambda x: x is not null)) as flag from lineitem)
+select flag, count(*) as n from g group by flag order by n desc, flag limit 3""")
+def top_review_flags(t):
+    flag = F.concat_ws("; ", F.when(F.col("l_quantity") > 45, "large"), F.when(F.col("l_discount") > 0.05, "cheap"), F.when(F.col("l_returnflag") == "R", "returned"), F.lit(""), "l_linestatus")
+    return activity.top_flags(t("lineitem").select(flag.alias("review_flags")), k=3)
+
+
+@query("select coalesce(max(o_orderkey) filter (o_orderkey % 2 = 0), 0) as highest from orders")
+def highest_pair_id(t):
+    kinds = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("P"), "o_orderkey")).otherwise(F.concat(F.lit("PAIR-"), "o_orderkey"))
+    return activity.highest_pair(t("orders").select(kinds.alias("pair_id")), "pair_id")
+
+
+@query("select w.id, count(o_custkey) as n from (select unnest(['1', '2', '4', '-7']) as id) w left join orders on cast(o_custkey as varchar) = w.id group by w.id")
+def alignment_references(t):
+    return activity.references(t("orders"), "o_custkey", ["1", "2", "4", "-7"])
