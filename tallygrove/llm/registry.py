@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import shared_dir
-from . import bpe, chat, grammar, lm, packing, quality, simhash, suffix, toxicity, vectors
+from . import bpe, chat, grammar, lm, packing, quality, simhash, substring, suffix, toxicity, vectors
 from .rows import documents
 
 
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.counts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return named | {"pipeline": corpus_pipeline.run}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import shared_dir
+
 #: Rows and text bytes that a function sees at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 16_000_000
 
@@ -47,3 +50,15 @@ def map_batches(
                 yield pa.RecordBatch.from_arrays([*(b[k] for k in kept), *made], names=[*kept, *new])
 
     return df.mapInArrow(each, out)
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written once to the shared folder in buckets of a column: grouping by it or joining on it moves no row again."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    to = df.repartition(parts, column).write.bucketBy(parts, column).option("compression", "zstd")
+    to.option("path", f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{table}").format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"drop table {table}")  # the files stay, as the plan reads them
+    return found
