@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import shared_dir
-from . import bpe, chat, grammar, lm, packing, quality, simhash, substring, suffix, toxicity, trie, vectors
+from . import bpe, chat, grammar, lm, packing, phrases, quality, simhash, substring, suffix, toxicity, trie, vectors
 from .rows import documents
 
 
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(*trie.rebuilt(trie.turns_of(documents(spark, sf_dir, "conversations"))))
 
