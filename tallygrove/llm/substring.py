@@ -12,7 +12,7 @@ parts of hashes); they cost an extension and no more.
 Documents are dealt into batches of bounded bytes. A batch sends each different hash once to the bucket that it belongs
 to, packed into one row a bucket, and gets back a bit for each: what many documents share counts once a batch, no pair of
 places is ever formed, and neither batches nor buckets grow with a hot passage or a group of copies but by one entry a
-batch. The batches are a table written once in buckets of their number, so the two answers join it without moving texts.
+batch. Rows between them are as many as batches times buckets, by size alone, and never more than hashes. The batches are a table written once in buckets of their number, so the two answers join it without moving texts.
 
 A word is what stands between blanks (space, tab to carriage return). A null text has no words. Every row counts as a document of
 its own, whatever its id or text: rows that repeat are removed where they are long enough. Rows with a null id are
@@ -190,7 +190,8 @@ def without_repeats(
     rows = docs.select(column(text).cast("string").alias("text"), F.struct(*map(column, carry or docs.columns)).alias("_doc"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches, buckets = max(2 * parts, size // BATCH_BYTES), max(2 * parts, size // BUCKET_BYTES)
+    # by size, and smaller ones where that keeps more tasks busy
+    batches, buckets = (max(1, size // most, min(parts, 4 * size // most)) for most in (BATCH_BYTES, BUCKET_BYTES))
     # a row's number has no meaning but to spread rows, and is settled once the table is written
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
     table = bucketed(dealt, "batch", "batches")
