@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text
+from ..functions.text import cells, text
 from ..session import written
+from .packed import ordered_distinct
 
 #: The fields of a confirmed location, the columns that hold those of the first, and the flags of a card.
 FIELDS = ("settlement", "settlement_yiddish", "address", "address_romanized", "lat", "lon")
@@ -57,11 +58,10 @@ def confirmed(raw: Column, first: dict[str, Column]) -> Column:
     return F.when(F.size(parsed) > 0, parsed).when(some, F.array(own)).otherwise(F.array().cast(LOCATIONS))
 
 
-def taken(members: DataFrame, values: Column, key: Column, name: str) -> DataFrame:
-    """(survivor, name): the values of all members in their order, the first of each key; combined before they meet."""
+def taken(members: DataFrame, values: Column, key: Column | None, name: str) -> DataFrame:
+    """(survivor, name): the values of all members in their order, the first of each key."""
     each = members.select("survivor", "came", F.posexplode(values).alias("_at", "_v"))
-    once = each.groupBy("survivor", key.alias("_key")).agg(F.min(F.struct("came", "_at", "_v")).alias("m"))
-    return once.groupBy("survivor").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["_v"]).alias(name))
+    return ordered_distinct(each, ["survivor"], F.col("_v"), ["came", "_at"], name, key)
 
 
 def merge_cards(cards: DataFrame, chains: DataFrame, reviewer: str, at: str) -> DataFrame:
@@ -81,8 +81,7 @@ def merge_cards(cards: DataFrame, chains: DataFrame, reviewer: str, at: str) ->
     kept = kept.select(F.col("db_id").alias("survivor"), F.array().cast("array<bigint>").alias("came"), *cards.columns)
     members = written(kept.unionByName(lost), "members")
 
-    split = F.filter(F.transform(F.split(text("linked_cluster_ids"), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    linked = taken(members, split, F.col("_v"), "_linked")
+    linked = taken(members, cells("linked_cluster_ids"), None, "_linked")
     places = confirmed(F.col("confirmed_locations"), dict(zip(FIELDS, map(F.col, COLUMNS), strict=True)))
     located = taken(members, places, F.struct(*[F.trim(text(F.col("_v")[f])).alias(f) for f in ("settlement", "address")]), "_places")
 
@@ -116,11 +115,10 @@ def merge_core(core: DataFrame, chains: DataFrame) -> DataFrame:
     """The authority table after the merges: losers are gone, survivors hold their linked ids too; losers without a survivor here stay."""
     have = core.select(F.col("db_id").alias("survivor"))
     ends = written(chains.where("not cyclic").join(have, "survivor", "left_semi").select("loser", "survivor", "came"), "ends")
-    split = F.filter(F.transform(F.split(text("linked_cluster_ids"), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     lost = ends.join(core, ends["loser"] == core["db_id"]).select("survivor", "came", "linked_cluster_ids")
     kept = core.join(lost.select("survivor").distinct(), core["db_id"] == F.col("survivor"), "left_semi")
     kept = kept.select(F.col("db_id").alias("survivor"), F.array().cast("array<bigint>").alias("came"), "linked_cluster_ids")
-    linked = taken(kept.unionByName(lost), split, F.col("_v"), "_linked").withColumnRenamed("survivor", "_id")
+    linked = taken(kept.unionByName(lost), cells("linked_cluster_ids"), None, "_linked").withColumnRenamed("survivor", "_id")
     rows = core.join(ends.select(F.col("loser").alias("db_id")), "db_id", "left_anti").select(*core.columns)
     joined = rows.join(linked, rows["db_id"] == linked["_id"], "left")
     return joined.select(*[F.coalesce(F.array_join("_linked", "|"), c).alias(c) if c == "linked_cluster_ids" else F.col(c) for c in core.columns])

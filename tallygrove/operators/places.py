@@ -21,6 +21,17 @@ COUNTRY = ("country", "sovereign state", "empire", "kingdom", "republic")
 SETTLEMENT_HINTS = ("city", "town", "village", "municipality", "borough", "commune", "settlement", "capital")
 #: Columns that hold the label of a row of that category.
 CATEGORIES = ("cemetery", "burial_city", "death_site", "settlement", "province", "country", "neighborhood", "other")
+#: The columns of a place table in order, its booleans, and those that a reviewer's queue shows first.
+UNIFIED = (
+    "entry_id", "context", "source_role", "source_value", "clustered_value", "qid", "qid_source", "place_qid_conflict", "wikidata_label_en", "wikidata_label_yi", "wikidata_type",
+    "resolved_category", "other_type", *CATEGORIES, "review_flags", "needs_review", "correction_applied", "death_burial_conflict",
+)
+BOOLEANS = ("place_qid_conflict", "needs_review", "death_burial_conflict")
+QUEUE = (
+    "entry_id", "context", "source_role", "source_value", "clustered_value", "qid", "wikidata_label_en", "wikidata_type", "resolved_category", "other_type", "review_flags",
+    "qid_source", "place_qid_conflict", "wikidata_label_yi", *CATEGORIES, "needs_review",
+)
+CORRECTED = ("correction_applied", "death_burial_conflict")
 #: Wrong entities by role, and categories that go before the rules.
 QID_OVERRIDES = {("province", "Q1139315"): "Q7835"}
 CATEGORY_OVERRIDES = {"Q7835": "province"}
@@ -219,3 +230,46 @@ def reviewer_rows(rows: DataFrame, position: str) -> DataFrame:
     labelled = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_LABELS.items() for x in kv]), source), source)
     out = flagged.unionByName(around)
     return out.select("anchor", "row_order", "row_type", *key[:5], entity_url("qid").alias("wikidata_url"), "resolved_category", "review_flags", labelled.alias("qid_source"))
+
+
+def unified(rows: DataFrame) -> DataFrame:
+    """rows with the columns of a place table in their order: missing ones are blank or false, null booleans false, others left out."""
+    have = set(rows.columns)
+    false = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in have else F.lit(False)
+    return rows.select(*[(false(c) if c in BOOLEANS else F.col(c) if c in have else F.lit("")).alias(c) for c in UNIFIED])
+
+
+def review_queue(rows: DataFrame, corrections: bool | None = None) -> DataFrame:
+    """Rows of a place table that need review, what a reviewer needs first; with the columns of corrections if asked, or if rows have them."""
+    shown = corrections if corrections is not None else set(CORRECTED) <= set(rows.columns)
+    return unified(rows).where("needs_review").select(*QUEUE, *(CORRECTED if shown else ()))
+
+
+def legacy(rows: DataFrame, corrections: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The two tables that older readers expect: all rows, and those that need review."""
+    more = CORRECTED if corrections else ()
+    return unified(rows).select(*[c for c in UNIFIED if c not in CORRECTED], *more), review_queue(rows, corrections)
+
+
+def mirror(rows: DataFrame) -> DataFrame:
+    """Place rows with a death site or a burial city alone get it in both, stamped death_burial_mirrored if they have no stamp.
+
+    Where both are told and differ, both stay and death_burial_conflict is set. Other roles are left alone.
+    """
+    death, burial = F.trim(text("death_site")), F.trim(text("burial_city"))
+    place, stamp = F.coalesce(F.col("source_role") == "place", F.lit(False)), F.col("correction_applied") if "correction_applied" in rows.columns else F.lit("")
+    clash = F.coalesce(F.col("death_burial_conflict"), F.lit(False)) if "death_burial_conflict" in rows.columns else F.lit(False)
+    down, up = place & (death != "") & (burial == ""), place & (burial != "") & (death == "")
+    new = {
+        "burial_city": F.when(down, F.col("death_site")).otherwise(F.col("burial_city")), "death_site": F.when(up, F.col("burial_city")).otherwise(F.col("death_site")),
+        "correction_applied": F.when((down | up) & (text(stamp) == ""), "death_burial_mirrored").otherwise(stamp),
+        "death_burial_conflict": clash | (place & (death != "") & (burial != "") & (death != burial)),
+    }
+    return rows.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in dict.fromkeys([*rows.columns, *CORRECTED])])
+
+
+def kind_counts(rows: DataFrame) -> DataFrame:
+    """(total, kind, n): rows of each category, each stamp that isn't blank, and how many need review."""
+    counts = lambda what, c: rows.where(text(c) != "").groupBy(F.lit(what).alias("total"), F.col(c).alias("kind")).agg(F.count("*").alias("n"))
+    review = rows.agg(F.count_if(F.lower(F.col("needs_review").cast("string")) == "true").alias("n")).select(F.lit("needs_review").alias("total"), F.lit("").alias("kind"), "n")
+    return counts("category", "resolved_category").unionByName(counts("correction", "correction_applied")).unionByName(review)

@@ -106,6 +106,24 @@ def stratified(rows: DataFrame, stratum: str, targets: dict[str, int], order: Co
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.coalesce(want[F.col(stratum)], F.lit(0))).drop("_r")
 
 
+def sampled(rows: DataFrame, rid: str, stratum: Column, targets: dict[str, int | None], rest: tuple[str, int], seed: int = 42) -> DataFrame:
+    """rows of a stratified sample with `review_stratum`, in the order of rid: the target number of each stratum, and `rest` (name, number) from all that no stratum took.
+
+    Rows are drawn in the order of the MD5 of seed and rid, so the same ones on every run and for any partitions. A target of None
+    takes a whole stratum. Each is the head of an order, kept by partial tops; no stratum is sorted whole.
+    """
+    named = rows.withColumns({"review_stratum": stratum, "_draw": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(rid).cast("string")))})
+    whole = [k for k, n in targets.items() if n is None]
+    some = {k: n for k, n in targets.items() if n is not None}
+    taken = first_k(named.where(F.col("review_stratum").isin(*some)), ["review_stratum"], ["_draw", rid], max(some.values(), default=0))
+    want = F.create_map(*[F.lit(x) for kv in (some or {"": 0}).items() for x in kv])
+    place = F.row_number().over(Window.partitionBy("review_stratum").orderBy("_draw", rid))
+    taken = taken.withColumn("_r", place).where(F.col("_r") <= want[F.col("review_stratum")]).drop("_r")
+    taken = taken.unionByName(named.where(F.col("review_stratum").isin(*whole)))
+    left = named.join(taken.select(rid), rid, "left_anti").orderBy("_draw", rid).limit(rest[1]).withColumn("review_stratum", F.lit(rest[0]))
+    return taken.unionByName(left.select(*taken.columns)).orderBy(rid).drop("_draw")
+
+
 def latest(log: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """The last decision of each key of an append-only log; combined before the shuffle, so a key of many decisions is no load."""
     last = log.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*log.columns), F.struct(ts, tie)).alias("_last"))

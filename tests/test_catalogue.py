@@ -12,6 +12,7 @@ from tallygrove.operators import resolve as R
 from tallygrove.operators import graph
 from tallygrove.operators.graph import connected_components
 from tallygrove.plans import catalogue as C
+from tallygrove.plans import curation  # noqa: F401
 from tallygrove.sources import tables
 
 
