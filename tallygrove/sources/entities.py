@@ -27,8 +27,9 @@ def claim_ids(claims: Column, prop: str) -> Column:
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, value) of whole files, the empty ones too, which Spark lists and doesn't read."""
     read = spark.read.text(path, wholetext=True)
-    rows = read.select(F.col("_metadata.file_path").alias("path"), "value")
-    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string")
+    same = F.regexp_replace("path", "^file:/+", "file:/")  # local paths are written in two ways
+    rows = read.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("path", same)
+    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string").withColumn("path", same)
     return rows.unionByName(listed.join(rows.select("path"), "path", "left_anti").withColumn("value", F.lit("")))
 
 
