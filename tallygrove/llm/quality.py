@@ -98,8 +98,18 @@ def weights(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     return out
 
 
+def text_key(text: Column) -> list[Column]:
+    """A text's 128-bit key in two numbers."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2")]
+
+
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, the four counts, base_failed, llr (per n-gram), kept."""
+    return judged(docs, labels, doc_id, text).drop("_k1", "_k2")
+
+
+def judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """scored() with the key of each row's text."""
     table = F.expr(f"cast(split('{','.join(map(str, weights(docs, labels, doc_id, text)))}', ',') as array<bigint>)")
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     df = repeated_words(with_ngrams(df, "_text"), "n_repeat_words")
@@ -109,6 +119,7 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     count = (F.size("_one") + F.size("_two")).cast("long")
     df = df.select(
         "doc_id",
+        *text_key(F.col("_text")),
         n.alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -139,6 +150,8 @@ def threshold(scores: DataFrame, labels: DataFrame) -> int:
 
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id the rules reject. Rows with a null id stay."""
-    gone = scored(docs, labels, doc_id, text).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """docs without the rows whose own text the rules reject: rows that share an id are each judged by their text. Rows with a null id stay."""
+    gone = judged(docs, labels, doc_id, text).where("not kept").select("_k1", "_k2").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *text_key(F.col(f"`{text}`")))
+    rejected = (whole["_k1"] == gone["_k1"]) & (whole["_k2"] == gone["_k2"]) & F.col("_row")[doc_id].isNotNull()
+    return whole.join(gone, rejected, "left_anti").select("_row.*")

@@ -20,12 +20,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import written
 
+#: The columns of a text's key.
+TEXT_KEY = ["k1", "k2"]
 #: Links gathered before they are merged into labels.
 LINKS = 1 << 20
 #: One of so many texts, and at most so many shingles of them, tell which are frequent. They change the work, not the result.
@@ -62,18 +64,17 @@ def fingerprint(text: str | None, width: int) -> int:
     return majority(shingles(text, width))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, print) of every row; print is the unsigned fingerprint held in a signed long."""
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(texts: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, k1, k2, print) of every row of keyed texts; print is the unsigned fingerprint held in a signed long."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 s = b.slice(k, 1000)
                 found = np.array([fingerprint(x, width) for x in s["text"].to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([s["doc_id"], pa.array(found)], names=["doc_id", "print"])
+                yield pa.RecordBatch.from_arrays([s["doc_id"], s["k1"], s["k2"], pa.array(found)], names=["doc_id", *TEXT_KEY, "print"])
 
-    return chosen.mapInArrow(each, "doc_id long, print long")
+    return texts.mapInArrow(each, "doc_id long, k1 long, k2 long, print long")
 
 
 def flips() -> np.ndarray:
@@ -176,7 +177,6 @@ def first_fifth(found: np.ndarray, often: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, late))][: n - (4 * n + 4) // 5 + 1 if n else 0]
 
 
-TEXT_KEY = ["k1", "k2"]
 #: Texts asked for by a broadcast of their keys, at most (16 bytes each); more are joined by a shuffle.
 ASKED = 500_000
 
@@ -200,9 +200,14 @@ def may_share(x: bytes, n: int, y: bytes, m: int) -> int:
     return count(a & b) + min(n - count(a), m - count(b))
 
 
+def text_key(text: Column) -> list[Column]:
+    """A text's 128-bit key in two numbers."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
+    return chosen.select("doc_id", *text_key(F.col("text")), "text")
 
 
 def frequent(texts: DataFrame, width: int) -> np.ndarray:
@@ -312,24 +317,37 @@ def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) ->
     return roots
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, threshold: int = 4, alike: bool = False) -> DataFrame:
-    """(doc_id, print, component_id): fingerprints and, for each row, the smallest doc_id reachable over links.
+def rooted(texts: DataFrame, width: int, threshold: int, alike: bool) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, k1, k2, print, ...) of each row of keyed texts, (print, root) of each fingerprint): fingerprints of one component share the root.
 
     With `alike`, texts whose sets of shingles have a similarity of 0.8 or more are linked as well.
     """
-    texts = keyed(docs, doc_id, text)
-    prints = written(profiles(texts, width) if alike else fingerprints(docs, doc_id, text, width), "prints")
-    distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(links(distinct.select("print"), threshold))
-    roots = distinct.join(found, distinct["print"] == found["vertex"], "left").select("print", F.coalesce("component", "print").alias("root"))
-    if alike:
-        roots = similar(texts, prints, written(roots, "roots"), width)
-    rooted = written(distinct.join(roots, "print"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "print").join(rooted.join(least, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    prints = written(profiles(texts, width) if alike else fingerprints(texts, width), "prints")
+    distinct = written(prints.select("print").distinct(), "distinct")
+    found = connected_components(links(distinct, threshold))
+    roots = written(distinct.join(found, distinct["print"] == found["vertex"], "left").select("print", F.coalesce("component", "print").alias("root")), "roots")
+    return prints, similar(texts, prints, roots, width) if alike else roots
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, threshold: int = 4, alike: bool = False) -> DataFrame:
+    """(doc_id, print, component_id): fingerprints and, for each row, the smallest doc_id reachable over links."""
+    prints, roots = rooted(keyed(docs, doc_id, text), width, threshold, alike)
+    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print"), "rooted")
+    each = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "print").join(least.join(each, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 4, alike: bool = False) -> DataFrame:
-    """docs without those whose component holds a smaller id. Rows that repeat the id of a kept one stay; null ids stay."""
-    gone = components(docs, doc_id, text, width, threshold, alike).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """docs with one document of each component: the smallest by id, of rows that share an id by the key of their text.
+
+    Rows of one id and text are one document: all of them stay or none. Rows with a null id stay.
+    """
+    prints, roots = rooted(keyed(docs, doc_id, text), width, threshold, alike)
+    rows = prints.where("doc_id is not null").select("print", F.struct("doc_id", *TEXT_KEY).alias("_me"))
+    least = written(rows.groupBy("print").agg(F.min("_me").alias("_least")).join(roots, "print"), "rooted")
+    first = least.join(least.groupBy("root").agg(F.min("_least").alias("_first")), "root").select("print", "_first")
+    gone = rows.join(first, "print").where("_me <> _first").select(F.col("_me.doc_id").alias("_id"), F.col("_me.k1").alias("_g1"), F.col("_me.k2").alias("_g2")).distinct()
+    column = lambda c: F.col(f"`{c}`")
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), column(doc_id).cast("long").alias("_doc"), *text_key(column(text)))
+    dropped = (F.col("_doc") == F.col("_id")) & (F.col("k1") == F.col("_g1")) & (F.col("k2") == F.col("_g2"))
+    return whole.join(gone, dropped, "left_anti").select("_row.*")

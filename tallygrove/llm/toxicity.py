@@ -19,7 +19,7 @@ rows; without labels of both classes every score is 0.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,15 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .rows import map_batches
+
 #: Labelled rows that the machine is fitted on, at most; they keep the classes' shares.
 TRAIN_DOCS = 10_000
 #: Candidate words that reach the driver, landmarks, and the similarity above which one landmark stands for another.
 CANDIDATES, LANDMARKS, ALIKE = 600, 96, 0.8
 DECAY, SPAN = 0.8, 7
-#: The kernel's power: a product of the kernel with itself, which is a kernel too and tells exact words from like ones.
-POWER = 2
-#: Similarities below this count as none.
+#: A word counts as far from all landmarks if none of its similarities reaches this.
 FAINT = 0.4
+#: The kernel's power: a product of the kernel with itself, which is a kernel too and tells a letter more or less from other words.
+POWER = 5
+#: A landmark is a known insult if this share of the toxic training documents hold it (three of them at least), and so many times as many as
+#: clean ones. With LETTERS put between its letters, or one of them left out, it is a toxic training sentence of its own, counted BENT times, which
+#: tells the machine how far to bend; in the calibration these weigh as much as this share of the toxic documents.
+KNOWN, TIMES, LETTERS, BENT, SHARE = 0.05, 9, "aext", 3, 0.2
+#: The machine's cost of a training sentence on the wrong side.
+COST = 300.0
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
@@ -91,7 +100,7 @@ def norms(s: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Similarities of words to landmarks; those below `faint` count as none."""
+    """Similarities of words to landmarks; a word with none of `faint` or more counts as near none."""
 
     def __init__(self, landmarks: list[str], faint: float = FAINT):
         self.landmarks, self.faint = landmarks, faint
@@ -142,7 +151,7 @@ class Kernel:
         for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
             out[near[k]] = weight[a:b] @ self.table[rows[a:b]]
         out[near] /= norms(s[near])[:, None].astype(np.float32)
-        out[out < self.faint] = 0
+        out[out.max(axis=1) < self.faint] = 0
         np.power(out, POWER, out=out)
 
 
@@ -247,8 +256,8 @@ def sample(docs: DataFrame, labels: DataFrame, train) -> DataFrame:
     return texts.join(ids, "_id").select("text", "toxic")
 
 
-def choose_landmarks(rows: DataFrame) -> list[str]:
-    """Words of toxic documents that tell the classes apart beyond chance (likelihood ratio), best first, each unlike those before it."""
+def choose_landmarks(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Landmarks, and those of them that are known insults: words of toxic documents that tell the classes apart beyond chance (likelihood ratio), best first, each unlike those before it."""
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")
     bare = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word")
     found = rows.select("toxic", word).select("toxic", bare).where(F.length("word").between(3, LONGEST))
@@ -261,46 +270,64 @@ def choose_landmarks(rows: DataFrame) -> list[str]:
     gain = share(bad, met, n[1]) + share(good, met, n[0]) + share(n[1] - bad, not_met, n[1]) + share(n[0] - good, not_met, n[0])
     # of as many words as are looked at, about one would come so far by chance
     tested = counts.count()
-    best = counts.where(bad * n[0] > good * n[1]).select("word", gain.alias("gain")).where(F.col("gain") > 2 * np.log(max(tested, 1)))
-    names = [r.word for r in best.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
+    best = counts.where(bad * n[0] > good * n[1]).select("word", "bad", "good", gain.alias("gain")).where(F.col("gain") > 2 * np.log(max(tested, 1)))
+    found_rows = best.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    names = [r.word for r in found_rows]
     if not names:
-        return []
+        return [], []
     alike, chosen = Kernel(names)(names), []
     for k in range(len(names)):
         if all(alike[k, j] < ALIKE for j in chosen):
             chosen.append(k)
         if len(chosen) == LANDMARKS:
             break
-    return [names[k] for k in chosen]
+    told = {r.word: r for r in found_rows}
+    known = [names[k] for k in chosen if told[names[k]].bad >= max(3, KNOWN * n[1], TIMES * told[names[k]].good)]
+    return [names[k] for k in chosen], known
+
+
+def damaged(word: str) -> list[str]:
+    """The word with a letter put between two of its letters, or one of its inner letters left out."""
+    return [word[:k] + x + word[k:] for k in range(1, len(word)) for x in LETTERS] + [word[:k] + word[k + 1 :] for k in range(1, len(word) - 1)]
+
+
+Sums = tuple[float, np.ndarray, np.ndarray]
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge machine; y is +1 or -1, the classes weigh alike. Newton steps on the active rows."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    c = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    w, ridge = np.zeros(a.shape[1]), np.diag([1.0] * x.shape[1] + [1e-3])
-    loss = lambda w: w @ ridge @ w / 2 + (c * np.maximum(0, 1 - y * (a @ w)) ** 2).sum() / 2
+def hinge(a: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> Sums:
+    """The squared hinge loss of rows with a column of ones, and on the rows within the margin the sums that a Newton step needs."""
+    short = np.maximum(0, 1 - y * (a @ w))
+    on = short > 0
+    return float((c * short**2).sum() / 2), (a[on] * c[on, None]).T @ y[on], (a[on] * c[on, None]).T @ a[on]
+
+
+def newton(sums: Callable[[np.ndarray], Sums], n: int, steps: int = 60) -> np.ndarray:
+    """The weights, the bias last, of the least squared hinge loss with a ridge; sums() gives hinge() of all rows at some weights."""
+    ridge = np.diag([1.0] * (n - 1) + [1e-3])
+    w = np.zeros(n)
+    loss, g, h = sums(w)
     for _ in range(steps):
-        on = y * (a @ w) < 1
-        h = ridge + (a[on] * c[on, None]).T @ a[on]
-        move = np.linalg.solve(h, (a[on] * c[on, None]).T @ y[on]) - w
-        size, now = 1.0, loss(w)
-        while loss(w + size * move) > now and size > 1e-6:
+        move, size = np.linalg.solve(h + ridge, g) - w, 1.0
+        while size > 1e-3:
+            at = w + size * move
+            new, g2, h2 = sums(at)
+            if new + at @ ridge @ at / 2 <= loss + w @ ridge @ w / 2:
+                break
             size /= 2
-        w = w + size * move
-        if np.abs(size * move).max() < 1e-6:
+        else:
+            break
+        w, loss, g, h = at, new, g2, h2
+        if np.abs(size * move).max() < 1e-4 * max(1.0, np.abs(w).max()):
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, train) -> Machine | None:
     """A machine from the labels that `train` allows, or None without both classes."""
-    from ..session import written
-
     rows = written(sample(docs, labels, train), "train")
     if rows.select("toxic").distinct().count() < 2:
         return None
-    landmarks = choose_landmarks(rows)
+    landmarks, known = choose_landmarks(rows)
     if not landmarks:
         return None
 
@@ -314,36 +341,86 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Machine | None:
                     x = np.unique(f.sentences(text), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([x.astype("<f4").tobytes()])], names=["toxic", "x"])
 
-    bags = rows.repartition(16).mapInArrow(each, "toxic int, x binary").collect()  # the different sentences near a landmark of TRAIN_DOCS documents
-    bags = sorted((r.toxic, bytes(r.x)) for r in bags)
+    bags = written(rows.repartition(16).mapInArrow(each, "toxic int, x binary"), "bags")
     m = len(landmarks)
     gram = Kernel(landmarks, 0.0)(landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-3 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
-    none = np.zeros((1, m), np.float32)
-    bag = [np.concatenate([none, np.frombuffer(x, "<f4").reshape(-1, m)]) for _, x in bags]
-    toxic = np.array([t for t, _ in bags]) == 1
-    x = np.concatenate([p[1:] if t and len(p) > 1 else p for p, t in zip(bag, toxic, strict=True)])
-    y = np.concatenate([np.full(len(p) - (t and len(p) > 1), 1.0 if t else -1.0) for p, t in zip(bag, toxic, strict=True)])
-    w, b = svm(x @ whiten, y, 0.1)
-    machine = Machine(landmarks, whiten, w, b, np.zeros(1), np.zeros(1))
-    worst = np.array([machine.decide(p).max() for p in bag])
-    machine.decision, machine.chance = calibrated(worst, toxic.astype(float))
+    bent = Kernel(landmarks)([v for w in known for v in damaged(w)]) if known else np.zeros((0, m), np.float32)
+    bent = bent[bent.any(axis=1)]
+    # a toxic document's sentences near a landmark are toxic, or it has one without; a clean document has one without besides its own
+    n, toxic = F.octet_length("x") / (4 * m), F.col("toxic") == 1
+    many = bags.agg(F.sum(F.when(toxic, F.greatest(n, F.lit(1)))).alias("bad"), F.sum(F.when(~toxic, n + 1)).alias("good")).first()
+    bad, clean = many.bad + BENT * len(bent), many.good
+    cost = {1: COST * (bad + clean) / (2 * bad), 0: COST * (bad + clean) / (2 * clean)}
+    ones = lambda x: np.hstack([x @ whiten, np.ones((len(x), 1))])
+    told = lambda rows, t, w: hinge(ones(rows), np.full(len(rows), 2.0 * t - 1), np.full(len(rows), cost[t]), w)
+
+    def sums(w: np.ndarray) -> Sums:
+        """hinge() of all training sentences, summed by the tasks; a row of fixed size comes from each."""
+
+        def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, g, h = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for b in batches:
+                for toxic, raw in zip(b["toxic"].to_pylist(), b["x"].to_pylist(), strict=True):
+                    x = np.frombuffer(raw, "<f4").reshape(-1, m)
+                    x = x if toxic and len(x) else np.concatenate([np.zeros((1, m), np.float32), x])
+                    one = told(x, toxic, w)
+                    loss, g, h = loss + one[0], g + one[1], h + one[2]
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([g.tobytes()]), pa.array([h.tobytes()])], names=["loss", "g", "h"])
+
+        parts = [(r.loss, np.frombuffer(r.g), np.frombuffer(r.h).reshape(len(w), -1)) for r in bags.mapInArrow(part, "loss double, g binary, h binary").collect()]
+        own = told(bent, 1, w)
+        parts.append(tuple(BENT * v for v in own))
+        return tuple(sum(v) for v in zip(*parts, strict=True))
+
+    w = newton(sums, whiten.shape[1] + 1)
+    machine = Machine(landmarks, whiten, w[:-1], float(w[-1]), np.zeros(1), np.zeros(1))
+
+    def worst(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [float(machine.decide(np.concatenate([np.zeros((1, m), np.float32), np.frombuffer(x, "<f4").reshape(-1, m)])).max()) for x in b["x"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(found, pa.float64())], names=["toxic", "worst"])
+
+    found = np.array(sorted(map(tuple, bags.mapInArrow(worst, "toxic int, worst double").collect())))  # two numbers for each of TRAIN_DOCS rows
+    weight = np.concatenate([np.ones(len(found)), np.full(len(bent), SHARE * found[:, 0].sum() / max(1, len(bent)))])
+    decision = np.concatenate([found[:, 1], machine.decide(bent)])
+    machine.decision, machine.chance = calibrated(decision, np.concatenate([found[:, 0], np.ones(len(bent))]), weight, ends=True)
     return machine
 
 
-def calibrated(decision: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decisions and the chances there: the share of toxic rows, rising with the decision (pooled where it wouldn't)."""
-    at, where, count = np.unique(decision, return_inverse=True, return_counts=True)
+def calibrated(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions and the chances there: the share of toxic rows by weight (1, if none is given), rising with the decision (pooled where it wouldn't).
+
+    A pool stands at its mean decision, or with `ends` at its least and its greatest: then its chance holds all over it.
+    """
+    weight = np.ones(len(decision)) if weight is None else weight
+    at, where = np.unique(decision, return_inverse=True)
     pools: list[list[float]] = []  # sum of decisions, of toxic rows, rows
-    for z, t, n in zip(at.tolist(), np.bincount(where, toxic).tolist(), count.tolist(), strict=True):
+    edges: list[list[float]] = []
+    for z, t, n in zip(at.tolist(), np.bincount(where, toxic * weight).tolist(), np.bincount(where, weight).tolist(), strict=True):
         pools.append([z * n, t, n])
+        edges.append([z, z])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+            edges[-2:] = [[edges[-2][0], edges[-1][1]]]
     z, t, n = np.array(pools).T
-    return z / n, np.maximum.accumulate((t + 0.5) / (n + 1))
+    chance = np.maximum.accumulate((t + 0.5) / (n + 1))
+    return (np.array(edges).ravel(), np.repeat(chance, 2)) if ends else (z / n, chance)
+
+
+def chances(machine: Machine, texts: list[str | None]) -> list[float]:
+    """The probability for each text that its worst sentence is toxic."""
+    f = features(tuple(machine.landmarks))
+    empty = machine.decide(np.zeros((1, len(machine.landmarks))))[0]
+    found = []
+    for k in range(0, len(texts), 300):
+        some = [(x or "").lower() for x in texts[k : k + 300]]
+        f.learn(some)
+        found += [max(empty, *machine.decide(x)) if len(x := f.sentences(t)) else empty for t in some]
+    return machine.probability(np.array(found)).tolist()
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
@@ -353,21 +430,28 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
         return chosen.select("doc_id", F.lit(0.0).alias("score"))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = features(tuple(machine.landmarks))
-        empty = machine.decide(np.zeros((1, len(machine.landmarks))))
         for b in batches:
             for k in range(0, b.num_rows, 300):
                 s = b.slice(k, 300)
-                texts = [(x or "").lower() for x in s["text"].to_pylist()]
-                f.learn(texts)
-                found = [max(empty[0], *machine.decide(x)) if len(x := f.sentences(t)) else empty[0] for t in texts]
-                yield pa.RecordBatch.from_arrays([s["doc_id"], pa.array(machine.probability(np.array(found)), pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([s["doc_id"], pa.array(chances(machine, s["text"].to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return chosen.mapInArrow(each, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
-    """docs without the rows that a machine, fitted on the labels that `train` allows (None: all), finds toxic; null ids stay."""
+    """docs without the rows whose own text a machine, fitted on the labels that `train` allows (None: all), finds toxic.
+
+    Rows that share an id are each judged by their text. Rows with a null id stay.
+    """
     machine = fit(docs, labels, F.lit(True) if train is None else train)
-    gone = score(docs, machine).where("score >= 0.5 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if machine is None:
+        return docs
+    name = "_score"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+
+    def run(b: pa.RecordBatch) -> Iterator[dict]:
+        yield {name: chances(machine, b["text"].to_pylist())}
+
+    scored = map_batches(docs, run, {name: "double"})
+    return scored.where((F.col(name) < 0.5) | F.col("doc_id").isNull()).drop(name)

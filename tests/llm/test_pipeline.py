@@ -88,3 +88,23 @@ def test_stages_on_odd_rows(spark):
                 docs = written(out, name)
         if docs.count():
             assert sum(r.doc_id is None for r in rows) == 3 and len({r.doc_id for r in rows} & {r.doc_id for r in good}) > 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows with one id and different texts are judged by their text; of each group of near copies a text always stays."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and length(text) between 1500 and 9000").join(labels.where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(2).collect()]
+    a, b = good
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string, lang string, source string, n_chars long")
+    row = lambda k, t: (k, t, "en", "s", len(t))
+    stages = dict(corpus_pipeline.STAGES)
+    near = frame(row(1, a), row(5, b), row(5, a), row(7, b), row(7, b))
+    left = [(r.doc_id, r.text) for r in stages["simhash"](spark, near, sf).collect()]
+    assert sorted(left) == sorted([(1, a), (5, b)])
+    both = frame(row(3, a), row(3, b), row(9, b))
+    assert sorted((r.doc_id, r.text) for r in stages["simhash"](spark, both, sf).collect()) == sorted([(3, a), (3, b)])
+    rude = frame(row(1, a), row(1, "you worthless idiot, you stupid trash"), row(2, b))
+    assert sorted((r.doc_id, r.text) for r in stages["toxicity"](spark, rude, sf).collect()) == sorted([(1, a), (2, b)])
+    poor = frame(row(1, a), row(1, "too short"), row(2, b), row(3, "same same same " * 40))
+    assert sorted((r.doc_id, r.text) for r in stages["quality"](spark, poor, sf).collect()) == sorted([(1, a), (2, b)])

@@ -1,5 +1,6 @@
 """Operator 5: its kernel against a plain sum, and its accuracy on labels that it has not seen."""
 
+import re
 import zlib
 from itertools import combinations
 
@@ -26,7 +27,8 @@ def test_kernel_equals_the_plain_sum():
     marks, words = ["idiot", "worthless", "réeux"], ["idiot", "i*d*i*o*t", "idxiot", "worthles", "th", "", "réeuxpa", "a" * 32, "idididid", "worthworthworth"]
     got = toxicity.Kernel(marks)(words)
     want = np.array([[plain(w, m) for m in marks] for w in words])
-    assert np.allclose(got, np.where(want < toxicity.FAINT, 0, want) ** toxicity.POWER, atol=1e-5)
+    near = want.max(axis=1, keepdims=True) >= toxicity.FAINT  # a word near a landmark keeps all its similarities, small ones too
+    assert np.allclose(got, np.where(near, want, 0) ** toxicity.POWER, atol=1e-5)
 
 
 def test_held_out_accuracy(spark):
@@ -58,6 +60,43 @@ def test_gapped_insults_and_odd_rows(spark, sf):
     assert {r.score for r in toxicity.score(df, toxicity.fit(df, odd, "true")).collect()} == {0.0}
 
 
+INSULTS = ("trash", "pathetic", "worthless", "idiot", "disgusting", "scum", "clown", "moron", "stupid", "loser")
+
+
+def test_inserted_dropped_and_doubled_letters(spark):
+    """Machine fitted without the rows held out: of ten insults with one letter more, less or twice, at least eight are found, in a sentence."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    machine = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "crc32(cast(_id as string)) % 5 <> 0")
+    for change in (lambda w, k: w[:k] + "b" + w[k:], lambda w, k: w[:k] + "q" + w[k:], lambda w, k: w[:k] + w[k + 1 :], lambda w, k: w[:k] + w[k - 1] + w[k:]):
+        said = [f"the town and then you {change(w, len(w) // 2)} went home. and more" for w in INSULTS]
+        assert sum(p >= 0.5 for p in toxicity.chances(machine, said)) >= 8
+    assert all(p < 0.5 for p in toxicity.chances(machine, ["the town went home", "", None, "they stand and the ones of it", "2024 10 07"]))
+
+
+def test_scores_by_the_plain_kernel(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    machine = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "true")
+    marks = machine.landmarks
+
+    def row(word):
+        found = [np.array([plain(f, m) for m in marks]) for f in toxicity.forms(word)]
+        near = [v**toxicity.POWER for v in found if v.max() >= toxicity.FAINT]
+        return np.max(near, axis=0) if near else None
+
+    texts = ["you idiot and trash. the end", "tr@$h town!", "the and of", "worxthless\nmoron stupid", "", "one idi-ot? two"]
+    want = []
+    for t in texts:
+        rows = [np.zeros(len(marks))]
+        for sentence in re.split(r"(?<=[.!?])\s+|\n+", t):
+            hot = [v for w in sentence.split() if (v := row(w)) is not None]
+            rows += [np.max(hot, axis=0)] if hot else []
+        z = max(float(r @ machine.whiten @ machine.weight) + machine.bias for r in rows)
+        want.append(float(np.interp(z, machine.decision, machine.chance)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in sorted(toxicity.score(df, machine).collect())]
+    assert np.allclose(got, want, atol=1e-3) and max(got) > 0.5 > min(got)
+
+
 def test_calibration_pools_what_does_not_rise():
     z, p = toxicity.calibrated(np.array([3.0, 1, 2, 2, 4, 0]), np.array([1.0, 1, 0, 0, 1, 0]))
     assert z.tolist() == [0.0, 5 / 3, 3.5] and np.allclose(p, [0.25, 0.375, 2.5 / 3])
