@@ -3,10 +3,10 @@
 The halves of the unit vectors have a codebook each; pairs of centroids form a grid of cells, and each vector lies in
 the cell of its nearest centroids. A query visits cells in the order of its distances to both centroids together (the
 multi-sequence traversal) up to a number that is measured: so many cells that a sample of queries, compared with all
-rows, would meet TARGET of its links. All vectors in the grid rows it visits are verified in double precision.
+rows, would meet TARGET of its links. The vectors in the cells it visits are verified in double precision.
 
-Codebooks are fitted on a bounded sample (SAMPLE vectors, by hash); every vector is indexed and is a query. A grid row
-of many vectors is cut into blocks of bounded size. Equal vectors are one with a weight. Vectors that are null, zero,
+Codebooks are fitted on a bounded sample (SAMPLE vectors, by hash) and grow with the root of the rows up to MOST_CENTRES
+each; every vector is indexed and is a query. A cell of many vectors is cut into blocks of bounded size. Equal vectors are one with a weight. Vectors that are null, zero,
 of another length than most or with null or non-finite components link with nothing. Rows that repeat an id give a row
 each; different vectors of one id count as one. Null ids have neither links nor a component and are not kept. Other
 columns are not carried. An empty table gives no rows.
@@ -28,6 +28,8 @@ from .simhash import merge
 
 #: Vectors the codebooks are fitted on; queries the traversal is measured with; the share of their links it must meet.
 SAMPLE, PROBES, TARGET = 20_000, 400, 0.998
+#: Links below which more are made for the measurement; centroids of a codebook, at most (a grid of 16 million cells).
+FEW, MOST_CENTRES = 100, 4096
 #: Vectors of a block, queries compared at once, and cells visited at least.
 BLOCK, TOGETHER, LEAST_CELLS = 4096, 512, 8
 
@@ -85,13 +87,23 @@ def prepared(rows: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, s
     return chosen.mapInArrow(each, "vec_id long, raw binary"), kind
 
 
-def probe(distinct: DataFrame, kind: str, books: list[np.ndarray], threshold: float) -> int:
-    """How many cells a traversal must visit to meet TARGET of the links, from PROBES queries compared with every vector."""
+def ranks_of(near: list[np.ndarray], x: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """How many cells a query x (a row of both distances) visits before the cell (c1, c2)."""
+    return np.array([int((near[0][q][:, None] + near[1][q][None, :] < near[0][q, i] + near[1][q, j]).sum()) for q, i, j in zip(x, c1, c2, strict=True)], dtype=np.int64)
+
+
+def probe(distinct: DataFrame, kind: str, books: list[np.ndarray], threshold: float) -> tuple[int, float]:
+    """How many cells a traversal must visit to meet TARGET of the links, and the share that it meets then.
+
+    The links are those of PROBES queries with every vector. Where they have fewer than FEW, as many are made: the
+    query turned by the angle of the threshold in a direction of chance, which is as far as a link can be.
+    """
     some = distinct.orderBy(F.xxhash64("id", F.lit(1))).limit(PROBES).collect()
     asked = np.array([r.id for r in some])
     q = unit([bytes(r.raw) for r in some], kind)
     half = q.shape[1] // 2
     near = [distances(q[:, :half], books[0]), distances(q[:, half:], books[1])]
+    cell = lambda v: (np.argmin(distances(x, c), axis=1) for x, c in zip((v[:, :half], v[:, half:]), books, strict=True))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,53 +111,58 @@ def probe(distinct: DataFrame, kind: str, books: list[np.ndarray], threshold: fl
                 s = b.slice(k, BLOCK)
                 v = unit(s["raw"].to_pylist(), kind)
                 i, j = np.nonzero((q @ v.T >= threshold) & (asked[:, None] != s["id"].to_numpy()[None, :]))
-                c1, c2 = (np.argmin(distances(x, c), axis=1) for x, c in zip((v[:, :half], v[:, half:]), books, strict=True))
-                ranks = [int((near[0][x][:, None] + near[1][x][None, :] < near[0][x, c1[y]] + near[1][x, c2[y]]).sum()) for x, y in zip(i, j, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64())], names=["rank"])
+                c1, c2 = cell(v)
+                yield pa.RecordBatch.from_arrays([pa.array(ranks_of(near, i, c1[j], c2[j]), pa.int64())], names=["rank"])
 
     counts = sorted((r["rank"], r["count"]) for r in distinct.select("id", "raw").mapInArrow(each, "rank long").groupBy("rank").count().collect())
-    left, cells = TARGET * sum(n for _, n in counts), LEAST_CELLS
-    for rank, n in counts:
-        if left <= 0:
-            break
-        cells, left = max(cells, rank + 1), left - n
-    return cells
+    rank = np.repeat([r for r, _ in counts], [n for _, n in counts]).astype(np.int64)
+    if len(rank) < FEW and q.shape[1] > 1:
+        rnd = np.random.default_rng(0)
+        row = np.arange(FEW) % len(q)
+        side = rnd.standard_normal((FEW, q.shape[1]))
+        side -= (side * q[row]).sum(axis=1, keepdims=True) * q[row]
+        side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+        c1, c2 = cell(threshold * q[row] + np.sqrt(max(0.0, 1 - threshold**2)) * side)
+        rank = np.sort(np.concatenate([rank, ranks_of(near, row, c1, c2)]))
+    need = rank[max(0, int(np.ceil(TARGET * len(rank))) - 1)] + 1 if len(rank) else 1
+    cells = int(max(need, LEAST_CELLS))
+    return cells, float((rank < cells).mean()) if len(rank) else 1.0
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id and kept."""
+    """One row per vector: vec_id, n_links, component_id, kept, and recall, the share of the probes' links that the cells visited hold (the same in all rows)."""
     made, kind = prepared(rows, vec_id, embedding)
     made = written(made.withColumns({"k1": F.xxhash64("raw"), "k2": F.xxhash64(F.lit(7), "raw")}), "vectors")
     valid = made.where("raw is not null")
     distinct = written(valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw")), "distinct")
     total = distinct.count()
     if not total:
-        return made.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return made.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
     sample = unit([bytes(r.raw) for r in distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("raw").collect()], kind)
     half = sample.shape[1] // 2
-    k = int(min(1024, max(4, 2 ** round(np.log2(max(1, total / 12)) / 2))))
+    k = int(min(MOST_CENTRES, max(4, 2 ** round(np.log2(max(1, total / 12)) / 2))))
     books = [k_means(sample[:, :half], k), k_means(sample[:, half:], k)]
-    cells = probe(distinct, kind, books, threshold)
-    books_ = books
+    cells, recall = probe(distinct, kind, books, threshold)
+    books_, across = books, len(books[1])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The grid row each vector lies in, and the grid rows that it visits as a query."""
+        """The cell each vector lies in, and the cells that it visits as a query."""
         for b in batches:
             for x in range(0, b.num_rows, 2000):
                 s = b.slice(x, 2000)
                 v = unit(s["raw"].to_pylist(), kind)
                 d = [distances(v[:, :half], books_[0]), distances(v[:, half:], books_[1])]
-                visits = [sorted({i for i, _ in traverse(p, q, cells)}) for p, q in zip(*d, strict=True)]
-                columns = [s["id"], s["n"], s["raw"], pa.array(np.argmin(d[0], axis=1).astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "raw", "row", "visits"])
-
-    placed = written(distinct.select("id", "n", "raw").mapInArrow(place, "id long, n long, raw binary, row int, visits array<int>"), "placed")
-    blocks = {r["row"]: -(-r["count"] // BLOCK) for r in placed.groupBy("row").count().collect()}  # one row for each centroid
-    blocks = F.create_map(*[F.lit(x) for kv in sorted(blocks.items()) for x in kv])
-    members = placed.select("row", F.pmod(F.xxhash64("id"), blocks[F.col("row")].cast("long")).alias("block"), F.lit(0).alias("role"), "id", "n", "raw")
-    asked = placed.select(F.explode("visits").alias("row"), "id", "n", "raw").where(blocks[F.col("row")].isNotNull())
-    asked = asked.select("row", F.explode(F.sequence(F.lit(0).cast("long"), blocks[F.col("row")].cast("long") - 1)).alias("block"), F.lit(1).alias("role"), "id", "n", "raw")
-    dealt = members.unionByName(asked).repartition("row", "block").sortWithinPartitions("row", "block", "role")
+                own = np.argmin(d[0], axis=1) * across + np.argmin(d[1], axis=1)
+                visits = [[i * across + j for i, j in traverse(p, q, cells)] for p, q in zip(*d, strict=True)]
+                yield pa.RecordBatch.from_arrays([s["id"], s["n"], s["raw"], pa.array(own.astype(np.int64)), pa.array(visits, pa.list_(pa.int64()))], names=["id", "n", "raw", "cell", "visits"])
+
+    placed = written(distinct.select("id", "n", "raw").mapInArrow(place, "id long, n long, raw binary, cell long, visits array<long>"), "placed")
+    # a cell of many vectors is cut into blocks, and its queries go to each; cells that hold none are visited by nobody
+    sizes = written(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "sizes")
+    members = placed.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("role"), "id", "n", "raw")
+    asked = placed.select(F.explode("visits").alias("cell"), "id", "n", "raw").join(sizes, "cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "n", "raw")
+    dealt = members.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of the queries of a block with its members: a count for each query, and edges that keep them connected."""
@@ -166,12 +183,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
             return pa.RecordBatch.from_arrays([pa.array(out), pa.array(n.astype(np.int64)), pa.array(root)], names=["id", "n", "root"])
 
         for b in batches:
-            row, block, role = (b[c].to_numpy() for c in ("row", "block", "role"))
-            key = np.stack([row, block, role], axis=1)
+            cell, block, role = (b[c].to_numpy() for c in ("cell", "block", "role"))
+            key = np.stack([cell, block, role], axis=1)
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = b.slice(x, y - x)
-                where = (int(row[x]), int(block[x]))
+                where = (int(cell[x]), int(block[x]))
                 if where != now:
                     now, ids, weights, raws, member = where, [], [], [], None
                 if role[x] == 0:
@@ -191,4 +208,4 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     told = told.select("k1", "k2", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     good = valid.select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     odd = made.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(odd).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return good.unionByName(odd).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(recall)})
