@@ -10,25 +10,54 @@ from pyspark.sql import functions as F
 
 from ..functions.phonetic import codes
 from ..functions.text import aliases, trigram_similarity, trigrams
+from ..session import written
 from .graph import connected_components
 
 
+def rare_keys(names: DataFrame, on: Sequence[str], name: str, least: float) -> DataFrame:
+    """(on..., name, key): the keys of which two names of a trigram similarity of `least` or more share one. Names must be distinct in on.
+
+    They are the trigrams that such a name must share some of, the rarest of all names first (a prefix filter), so no
+    frequent trigram brings many names together. Names without trigrams, and those with a word so short that they may be compared by
+    words, have their words as keys too. Blank names have none.
+    """
+    c = F.col(name)
+    words = F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    grams = names.where(c != "").select(*on, name, trigrams(c).alias("_g"))
+    each = grams.select(*on, name, F.size("_g").alias("_n"), F.explode("_g").alias("_gram"))
+    counts = each.groupBy("_gram").agg(F.count("*").alias("_f"))
+    ranked = each.join(counts, "_gram").groupBy(*on, name, "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_gram"))).alias("_all"))
+    need = F.greatest(F.col("_n") - F.ceil(F.col("_n") * least - 1e-9).cast("int") + 1, F.lit(1))
+    found = ranked.select(*on, name, F.explode(F.slice("_all", F.lit(1), need)).alias("_k")).select(*on, name, F.col("_k._gram").alias("key"))
+    short = grams.where((F.size("_g") == 0) | F.exists(words, lambda w: F.length(w) < 3)).select(*on, name, F.explode(words).alias("key"))
+    return found.unionByName(short)
+
+
+def near_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(a, b, score) of different names of both sides with a trigram similarity of `least` or more; a and b are distinct names in columns of different names."""
+    both = left.select(F.col(a).alias("_name")).union(right.select(F.col(b).alias("_name"))).distinct()
+    keys = written(rare_keys(both, [], "_name", least), "keys")
+    side = lambda d, c: d.select(c).join(keys, F.col(c) == F.col("_name")).select(c, "key")
+    pairs = side(left, a).join(side(right, b), "key").select(a, b).distinct()
+    return pairs.withColumn("score", trigram_similarity(F.col(a), F.col(b))).where(F.col("score") >= least)
+
+
 def blocked_pairs(rows: DataFrame, block: Sequence[str], name: str, rid: str, least: float) -> DataFrame:
     """Pairs i < j within a block whose normalised names are at least so similar: (rid_i, rid_j, name_i, name_j, similarity).
 
-    Equal names of a block are one before the join and come back as pairs with their first row. Candidates must share
-    a trigram among the rarest that a similar name must have (a prefix filter), so no block is joined with itself whole.
+    Equal names of a block are one before the join and come back as pairs with their first row. Only ids that share a
+    block and a rare key meet; each different pair of names that comes of it is compared once.
     """
-    first = rows.groupBy(*block, name).agg(F.min(rid).alias("rid"))
-    n = F.size(F.col("grams"))
-    grams = first.withColumn("grams", F.array_sort(trigrams(F.col(name))))
-    need = n - F.ceil(n * least - 1e-9).cast("int") + 1
-    keyed = grams.withColumn("key", F.explode(F.when(n > 0, F.slice("grams", F.lit(1), F.greatest(need, F.lit(1)))).otherwise(F.array_distinct(F.split(F.col(name), " ")))))
-    short = grams.where(F.exists(F.split(F.col(name), " "), lambda w: F.length(w) < 3) & (n > 0)).withColumn("key", F.explode(F.array_distinct(F.split(F.col(name), " "))))
-    keyed = keyed.unionByName(short).select(*block, "key", "rid", F.col(name).alias("name"))
-    left, right = (keyed.select(*block, "key", F.col("rid").alias(f"rid_{k}"), F.col("name").alias(f"name_{k}")) for k in "ij")
-    found = left.join(right, [*block, "key"]).where("rid_i < rid_j").select("rid_i", "rid_j", "name_i", "name_j").distinct()
-    return found.withColumn("similarity", trigram_similarity(F.col("name_i"), F.col("name_j"))).where(F.col("similarity") >= least)
+    first = written(rows.where(F.col(name) != "").groupBy(*block, F.col(name).alias("name")).agg(F.min(rid).alias("rid")), "first")
+    keys = written(rare_keys(first.select("name").distinct(), [], "name", least), "keys")
+    keyed = first.join(keys, "name").select(*block, "key", "rid")
+    left, right = (keyed.withColumnRenamed("rid", f"rid_{k}") for k in "ij")
+    met = left.join(right, [*block, "key"]).where("rid_i < rid_j").select("rid_i", "rid_j").distinct()
+    for k in "ij":
+        met = met.join(first.select(F.col("rid").alias(f"rid_{k}"), F.col("name").alias(f"name_{k}")), f"rid_{k}")
+    met = written(met, "met")
+    near = met.select("name_i", "name_j").distinct().withColumn("similarity", trigram_similarity(F.col("name_i"), F.col("name_j"))).where(F.col("similarity") >= least)
+    return met.join(near, ["name_i", "name_j"]).select("rid_i", "rid_j", "name_i", "name_j", "similarity")
 
 
 def clusters(rows: DataFrame, rid: str, edges: DataFrame) -> DataFrame:
@@ -52,13 +81,10 @@ def first_k(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def ranked_candidates(rows: DataFrame, authority: DataFrame, name: str, rid: str, a_name: str, a_id: str, least: float = 0.6, k: int = 5) -> DataFrame:
     """(rid, a_id, score, method): the k best authorities by exact name, else trigram similarity.
 
-    Exact names and shared trigrams are equi-joins of exploded keys; ties go by authority id.
+    Names meet on rare keys and each different pair is compared once; ties go by authority id. Blank names match none.
     """
     a, b = rows.select(F.col(rid).alias("rid"), F.col(name).alias("a")), authority.select(F.col(a_id).alias("a_id"), F.col(a_name).alias("b"))
-    names_a, names_b = a.select("a").distinct(), b.select("b").distinct()
-    keyed = lambda d, c: d.withColumn("key", F.explode(F.when(F.length(c) >= 3, trigrams(F.col(c))).otherwise(F.split(F.col(c), " "))))
-    pairs = keyed(names_a, "a").join(keyed(names_b, "b"), "key").select("a", "b").distinct()
-    scored = pairs.withColumn("score", trigram_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    scored = near_names(a.where("a <> ''").select("a").distinct(), b.where("b <> ''").select("b").distinct(), "a", "b", least)
     full = a.join(scored, "a").join(b, "b").withColumn("method", F.when(F.col("a") == F.col("b"), "exact").otherwise("fuzzy"))
     return first_k(full.select("rid", "a_id", "score", "method"), ["rid"], [F.desc("score"), "a_id"], k)
 
@@ -248,9 +274,9 @@ def signal_candidates(rows: DataFrame, authority: DataFrame, name: str, rid: str
         pairs = left.withColumn("key", F.explode(key(F.col("a")))).join(right.withColumn("key", F.explode(key(F.col("b")))), "key").select("a", "b").distinct()
         return pairs.select("a", "b", score.alias("score"), F.lit(rank).alias("rank"), F.lit(method).alias("method"))
 
-    pieces = lambda c: F.when(F.length(c) >= 3, trigrams(c)).otherwise(F.split(c, " "))
+    fuzzy = near_names(left, right, "a", "b", least).select("a", "b", "score", F.lit(0).alias("rank"), F.lit("fuzzy").alias("method"))
     found = meet(lambda c: aliases(c, generic=tuple(generic)), "exact", F.lit(1.0), 2)
-    found = found.unionByName(meet(codes, "phonetic", F.lit(0.85), 1)).unionByName(meet(pieces, "fuzzy", trigram_similarity(F.col("a"), F.col("b")), 0))
+    found = found.unionByName(meet(codes, "phonetic", F.lit(0.85), 1)).unionByName(fuzzy)
     best = found.where(F.col("score") >= least).groupBy("a", "b").agg(F.max(F.struct("score", "rank", "method")).alias("best"))
     full = a.join(best, "a").join(b, "b").select("rid", "a_id", "best.score", "best.method")
     return first_k(full, ["rid"], [F.desc("score"), "a_id"], k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit as A
-from ..operators import identity, matching, merge, numbering, packed, places
+from ..operators import decisions, identity, matching, merge, numbering, packed, places
 from ..operators import resolve as R
 from ..session import shared_dir
 from ..sources import versions
@@ -391,3 +391,40 @@ def legacy_queue(t):
 union all select 'needs_review', '', count(*) from part where p_size % 2 = 0""")
 def kind_counts(t):
     return places.kind_counts(place_table(t))
+
+
+# Decisions, and alignments linked to clusters. Of the mentions of an order's customer some are named as its heading, the others have no name.
+
+
+@query("""with e as (select o_custkey k, arg_max(case when o_orderkey % 3 = 0 then 'REQUEUE' else o_orderpriority end, row(o_orderdate, o_orderkey)) d, arg_max(o_orderstatus, row(o_orderdate, o_orderkey)) a, max(row(o_orderdate, o_orderkey)) t from orders where o_custkey % 2 = 0 group by 1)
+select c_custkey, case when d = 'REQUEUE' then '' else coalesce(d, 'old') end as decision, case when d = 'REQUEUE' then '' else coalesce(a, c_mktsegment) end as aligned, case when d is null then '' else 'rev' end as reviewer from customer left join e on k = c_custkey""")
+def decisions_applied(t):
+    o = F.col("o_orderkey")
+    log = t("orders").where("o_custkey % 2 = 0").select(
+        F.col("o_custkey").alias("c_custkey"), F.when(o % 3 == 0, decisions.BACK).otherwise(F.col("o_orderpriority")).alias("decision"), F.col("o_orderstatus").alias("aligned"), F.col("o_orderdate").alias("at"),
+        o.alias("n"), F.lit("rev").alias("reviewer"),
+    )
+    rows = t("customer").select("c_custkey", F.lit("old").alias("decision"), F.col("c_mktsegment").alias("aligned"))
+    return decisions.decided(rows, log, "c_custkey", ["aligned"]).drop("reviewed_at")
+
+
+LINKED = """a as (select o_orderkey uid, o_orderpriority h, case when o_orderkey % 11 = 0 then 'x' || o_custkey when o_orderkey % 13 = 0 then '' else cast(o_custkey as varchar) end db, o_custkey % 700 x from orders),
+m as (select l_orderkey * 10 + l_linenumber as o, l_orderkey % 640 as x, case when l_orderkey % 640 % 9 = 0 then null else 'C' || l_suppkey end c, case l_linenumber when 1 then '5-LOW' when 2 then '1-URGENT' else '' end nm from lineitem where l_orderkey % 5 = 0 and l_linenumber < 4),
+s as (select uid, h, db, count(m.x) as met, count(c) as n, arg_min(c, row(case when nm = h then 0 else 1 end, o, c)) filter (c is not null) as best, bool_or(nm = h and c is not null) hit from a left join m using (x) where db <> '' group by 1, 2, 3),
+r as (select *, case when db like 'x%' then 'invalid_align_with_db' when met = 0 then 'xml_id_not_found' when n = 0 then 'no_cluster_id' when n > 1 and not hit then 'ambiguous_cluster_match' end as reason from s)"""
+
+
+def links(t) -> tuple[DataFrame, DataFrame]:
+    o, k, line = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber")
+    a = t("orders").select(F.concat(o, F.lit("-"), k % 700).alias("uid"), F.col("o_orderpriority").alias("h"), F.when(o % 11 == 0, F.concat(F.lit("x"), k)).when(o % 13 == 0, "").otherwise(F.concat(k, F.lit(" | 3"))).alias("db"))
+    x = F.col("l_orderkey") % 640
+    m = t("lineitem").where("l_orderkey % 5 = 0 and l_linenumber < 4").select(
+        (F.col("l_orderkey") * 10 + line).alias("o"), x.cast("string").alias("x"), F.when(x % 9 == 0, " ").otherwise(F.concat(F.lit("C"), "l_suppkey")).alias("c"), F.when(line == 1, "5-LOW").when(line == 2, "1-URGENT").otherwise("").alias("nm"),
+    )
+    return decisions.linked(a, m, "uid", F.col("h"), "db", "x", "c", F.col("nm"), "o")
+
+
+@query(f"with {LINKED} select uid || '-' || (o_custkey % 700) as uid, coalesce(best, '') as cluster_id, coalesce(reason, '') as reason from (select uid, best, null as reason from r where reason is null union all select uid, null, reason from r where reason is not null) join orders on o_orderkey = uid")
+def linked_alignments(t):
+    good, bad = links(t)
+    return good.select("uid", "cluster_id", F.lit("").alias("reason")).unionByName(bad.select("uid", F.lit("").alias("cluster_id"), "reason"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.functions import text as T
-from tallygrove.operators import audit, matching, merge, packed, places
+from tallygrove.operators import audit, decisions, matching, merge, packed, places
 from tallygrove.operators import resolve as R
 from tallygrove.sources import entities
 
@@ -173,3 +173,51 @@ def test_mirror(spark):
     got = {r.k: (r.death_site, r.burial_city, r.correction_applied, r.death_burial_conflict) for r in places.mirror(df).collect()}
     assert got == {0: ("camp", "camp", "death_burial_mirrored", False), 1: ("town", "town", "old", False), 2: ("a", "b", None, True), 3: ("a", "a", "", False), 4: ("camp", "", "", False), 5: ("camp", "", "", False)}
     assert places.mirror(df.drop("correction_applied")).where("k = 0").first().correction_applied == "death_burial_mirrored"
+
+
+def test_decisions(spark):
+    base = spark.createDataFrame([("a", "ALIGN", "1"), ("b", "", ""), ("c", "NEW", "9"), ("d", "x", "y")], "id string, decision string, aligned string")
+    log = [("a", "REQUEUE", "5", "t2", 2, "ann"), ("a", "NEW", "7", "t1", 3, "bob"), ("b", "ALIGN", "4", "t1", 1, "ann"), ("b", "DEFER", None, "t1", 2, "bob"), ("zz", "NEW", "1", "t9", 1, "x"), (None, "NEW", "1", "t9", 1, "x"), ("c", None, "8", "t1", 1, "eve")]
+    events = spark.createDataFrame(log, "id string, decision string, aligned string, at string, n long, reviewer string")
+    got = rows(decisions.decided(base, events, "id", ["aligned"]))
+    assert got == sorted([("a", "", "", "ann", "t2"), ("b", "DEFER", "", "bob", "t1"), ("c", "NEW", "8", "eve", "t1"), ("d", "x", "y", "", "")])
+    assert rows(decisions.decided(base, events.limit(0), "id", ["aligned"])) == sorted((*r, "", "") for r in rows(base))
+    assert decisions.stamped(base, "me", "now").where("reviewer = 'me' and reviewed_at = 'now'").count() == 4
+    one, two = spark.createDataFrame([("a", "t"), ("b", None), (None, "q")], "k string, kind string"), spark.createDataFrame([("n", "a", "u"), ("m", "z", "u")], "n string, c string, kind string")
+    changes = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "", 1), (None, "w", 1)], "k string, kind string, n long")
+    both = decisions.passed_on({"one": (one, "k"), "two": (two, "c")}, changes, "k", "kind", ["n"])
+    assert rows(both["one"]) == sorted([("a", "y"), ("b", ""), (None, "q")], key=repr) and rows(both["two"]) == [("m", "z", "u"), ("n", "a", "y")]
+
+
+def test_linked_alignments(spark):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    names = ["yung teater", "yung teatr", "folks bine", "", "habima"]
+    align = [(f"{k}-x{rnd.randrange(25)}", rnd.choice(names), rnd.choice(["5", "6|7", "x", "", None, " 8 ", "99999999999999999999"])) for k in range(120)]
+    held = [(f"x{rnd.randrange(22)}" if rnd.random() < 0.9 else rnd.choice(["", None]), rnd.choice(["C1", "C2", "C3", "", None]), rnd.choice(names), k) for k in range(60)]
+    a, m = spark.createDataFrame(align, "uid string, h string, db string"), spark.createDataFrame(held, "x string, c string, nm string, o long").repartition(3)
+    links, bad = decisions.linked(a, m, "uid", F.col("h"), "db", "x", "c", F.col("nm"), "o")
+    like = lambda p, q: 0.0 if not p or not q else 1.0 if p == q else SequenceMatcher(None, p, q).ratio()
+    want, wrong = {}, {}
+    for uid, h, db in align:
+        first = (db or "").split("|")[0].strip()
+        found = [r for r in held if r[0] and r[0] == uid.split("-", 1)[1]]
+        scored = sorted(((-like(h, n), o, c) for _, c, n, o in found if c))
+        if not (db or "").strip():
+            continue
+        if not first.isdigit() or int(first) >= 2**63:
+            wrong[uid] = "invalid_align_with_db"
+        elif not found:
+            wrong[uid] = "xml_id_not_found"
+        elif not scored:
+            wrong[uid] = "no_cluster_id"
+        elif len(scored) > 1 and -scored[0][0] < 0.6:
+            wrong[uid] = "ambiguous_cluster_match"
+        else:
+            want[uid] = (int(first), scored[0][2], -scored[0][0])
+    assert {r.uid: (r.db_id, r.cluster_id, r.score) for r in links.collect()} == want and {r.uid: r.reason for r in bad.collect()} == wrong
+    assert set(wrong.values()) == {"invalid_align_with_db", "xml_id_not_found", "no_cluster_id", "ambiguous_cluster_match"}
+    core = decisions.core_table(spark.createDataFrame([("5", " A "), ("6", None), ("q", "no"), ("77", "z")], "id string, name string"), links, "id", ["name"])
+    linked = {r.db_id: (r.name, r.linked_cluster_ids) for r in core.collect()}
+    assert linked == {5: ("A", " | ".join(sorted({c for d, c, _ in want.values() if d == 5}))), 6: ("", " | ".join(sorted({c for d, c, _ in want.values() if d == 6}))), 77: ("z", "")}
