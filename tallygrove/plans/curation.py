@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit as A
-from ..operators import decisions, identity, matching, merge, numbering, packed, places
+from ..operators import decisions, identity, matching, merge, numbering, packed, places, views
 from ..operators import resolve as R
 from ..session import shared_dir
 from ..sources import versions
@@ -428,3 +428,79 @@ def links(t) -> tuple[DataFrame, DataFrame]:
 def linked_alignments(t):
     good, bad = links(t)
     return good.select("uid", "cluster_id", F.lit("").alias("reason")).unionByName(bad.select("uid", F.lit("").alias("cluster_id"), "reason"))
+
+
+# What reviewers look at.
+
+
+@query("""with g as (select o_custkey c, o_orderstatus f, o_orderpriority e, o_orderkey k from orders where o_orderkey % 5 > 0),
+d as (select c, min(k) k from g where f <> 'P' or e not like '%-%M%' group by c, f, case when e = '5-LOW' then '' else e end),
+r as (select c, k, row_number() over (partition by c order by k) r from d) select c as o_custkey, k as o_orderkey from r where r <= 4""")
+def mention_samples(t):
+    p, f = F.col("o_orderpriority"), F.col("o_orderstatus")
+    rows = t("orders").select("o_custkey", "o_orderkey", f.alias("file"), F.when(p == "5-LOW", " ").otherwise(p).alias("entry"), F.when(F.col("o_orderkey") % 5 > 0, "said").otherwise("").alias("sentence"), F.lit(None).cast("string").alias("heading"))
+    rows = rows.where((f != "P") | ~p.rlike("-.*M"))
+    return views.samples(rows, ["o_custkey"], "file", "entry", ["sentence", "heading"], ["o_orderkey"], 4).select("o_custkey", "o_orderkey")
+
+
+@query("select c_custkey from customer where c_custkey % 3 = 0 and c_mktsegment in ('BUILDING', 'MACHINERY') and c_mktsegment like '%IN%'")
+def visible_rows(t):
+    rows = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, "ALIGN").otherwise(" ").alias("decision"), F.col("c_mktsegment").alias("org_type"))
+    return views.visible(rows, "Undecided", ["building", "Machinery"], "in").select("c_custkey")
+
+
+CARD_ROWS = """k as (select c_custkey id, c_custkey % 7 = 0 ex, c_custkey % 5 = 0 ge, c_custkey % 4 = 0 sub, c_name nm, c_mktsegment ty, case when c_custkey % 3 = 0 then 'geolocated' when c_custkey % 3 = 1 and c_nationkey % 2 = 0 then 'has_address' when c_nationkey < 10 then 'has_settlement' when c_nationkey < 20 then 'has_country' else 'none' end st from customer)"""
+
+
+def card_rows(t) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    flag = lambda c: F.when(c, "TRUE").otherwise("FALSE")
+    return t("customer").select(
+        k.cast("string").alias("db_id"), flag(k % 7 == 0).alias("is_exploded"), flag(k % 5 == 0).alias("is_generic"), F.when(k % 4 == 0, "1").alias("parent_db_id"), F.col("c_name").alias("canonical_yiddish"),
+        F.col("c_mktsegment").alias("org_type"), F.when(k % 3 == 0, "1.5").alias("lat"), F.when(k % 3 == 0, "2").alias("lon"), F.when(n % 2 == 0, F.when(k % 3 == 1, "x")).alias("confirmed_address"),
+        F.when(n < 10, "y").otherwise(" ").alias("confirmed_settlement"), F.when(n < 20, "z").alias("country"),
+    )
+
+
+@query(f"with {CARD_ROWS} select cast(id as varchar) as db_id, st as geo_status from k where not ex and not ge and not sub and nm like '%7%' and ty = 'BUILDING'")
+def filtered_cards(t):
+    return views.cards(card_rows(t), ["building"], "7", generic=False, parts=False).select("db_id", "geo_status")
+
+
+@query(f"""with {CARD_ROWS} select count(*) as showing, count(*) filter (st = 'geolocated') as geolocated, count(*) filter (st = 'has_address') as has_address, count(*) filter (st = 'has_settlement') as has_settlement,
+count(*) filter (st = 'has_country') as has_country, count(*) filter (st = 'none') as none, count(*) filter (st <> 'none') / count(*) as reviewed_ratio from k where not ex""")
+def geo_facets(t):
+    return views.facets(views.cards(card_rows(t)))
+
+
+@query("select p_partkey from part where p_name like '%red%' and (lower(p_brand) || ' ' || lower(p_type)) like '%2 econ%' and p_partkey <> 3 order by p_partkey limit 20")
+def search_rows(t):
+    rows = t("part").withColumn("nothing", F.lit(None).cast("string"))
+    return views.search(rows, "p_partkey", ["p_partkey"], "p_name", ["p_brand", "nothing", "p_type"], "RED", "2 Econ", "3").select("p_partkey")
+
+
+@query("select distinct cast(o_custkey as varchar) as db_id, o_orderpriority as cluster_id from orders where o_orderstatus = 'F' and o_custkey % 9 > 0")
+def linking_decisions(t):
+    c = F.col("o_custkey")
+    rows = t("orders").select(F.when(F.col("o_orderstatus") == "F", " NEW ").otherwise(F.col("o_orderstatus")).alias("decision"), F.when(c % 9 > 0, F.concat(F.lit(" "), c)).alias("aligned_db_id"), F.col("o_orderpriority").alias("cluster_id"))
+    return views.linking(rows)
+
+
+@query("select distinct cast(o_custkey as varchar) as o_custkey from orders where o_custkey % 4 > 0")
+def key_set(t):
+    return views.key_set(t("orders").select(F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("o_custkey")), "o_custkey")
+
+
+@query(f"""with d as (select {STRATUM} s, o_totalprice p, o_custkey % 3 = 0 c from orders)
+select n.s as stratum, count(d.s) as n, count(*) filter (p > 200000) as dear, count(*) filter (c) as has_context from (values ('S1'), ('S2'), ('S3'), ('S4'), ('S5'), ('S8')) n(s) left join d on d.s = n.s group by 1""")
+def strata_counts(t):
+    rows = t("orders").select("*", F.when(F.col("o_custkey") % 3 == 0, "x").otherwise(" N/A ").alias("x - locations - y"), F.lit(None).cast("string").alias("a relations b"))
+    return views.strata(rows, F.expr(STRATUM), ["S1", "S2", "S3", "S4", "S5", "S8"], dear=F.col("o_totalprice") > 200000, has_context=views.has_context(rows))
+
+
+@query("select p_partkey, p_partkey % 3 > 0 and p_partkey % 4 > 0 as preserved from part")
+def preserved_rows(t):
+    k = F.col("p_partkey")
+    before = t("part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("variants"))
+    after = t("part").where(k % 3 > 0).select("p_partkey", F.upper("p_name").alias("name"), F.concat(F.lit(" "), F.lower("p_type")).alias("kind"), F.when(k % 4 > 0, F.col("p_brand")).otherwise("other").alias("variants"))
+    return views.same_meaning(before, after, "p_partkey", "name", "kind", "variants")
