@@ -4,8 +4,8 @@ Every document is cut into non-overlapping reference blocks of BLOCK words, as f
 words holds a whole block of its own document wherever it stands, so if a window is found twice, one of its copies holds
 a reference block and the other the same words at some place. The blocks are indexed by hash and probed with the rolling
 windows of BLOCK words at every place of every document. What is found is a hit if its words stand at two places at least.
-Hits are extended: every window of `length` words over a hit is compared by a 128-bit hash with all others of that kind,
-whoever holds them; those found elsewhere too make up the maximal repeats. Whether a place is a hit depends on its words
+Hits are extended: every window of `length` words over a hit is compared with all others of that kind, whoever holds
+them, by 96 bits of hashes within a bucket of more; those found elsewhere too make up the maximal repeats. Whether a place is a hit depends on its words
 alone, so equal windows are extended alike and none is missed. The hit index may report a few places too many (it compares
 parts of hashes); they cost an extension and no more.
 

@@ -49,7 +49,7 @@ COST = 300.0
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
-STORE_WORDS = 280_000
+STORE_WORDS = 150_000
 #: Signs that stand for letters.
 LOOKS = str.maketrans("0134578@$", "oieastbas")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -191,7 +191,7 @@ class Machine:
     chance: np.ndarray
 
     def decide(self, features: np.ndarray) -> np.ndarray:
-        return features @ self.whiten @ self.weight + self.bias
+        return features @ (self.whiten @ self.weight) + self.bias
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return np.interp(decision, self.decision, self.chance)
@@ -316,8 +316,9 @@ def newton(sums: Callable[[np.ndarray], Sums], n: int, steps: int = 60) -> np.nd
             size /= 2
         else:
             break
+        before, after = loss + w @ ridge @ w / 2, new + at @ ridge @ at / 2
         w, loss, g, h = at, new, g2, h2
-        if np.abs(size * move).max() < 1e-4 * max(1.0, np.abs(w).max()):
+        if before - after < 1e-4 * before:
             break
     return w
 
@@ -357,6 +358,8 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Machine | None:
     ones = lambda x: np.hstack([x @ whiten, np.ones((len(x), 1))])
     told = lambda rows, t, w: hinge(ones(rows), np.full(len(rows), 2.0 * t - 1), np.full(len(rows), cost[t]), w)
 
+    passes = bags.coalesce(4)  # rows of a few megabytes: more tasks would cost more than they share
+
     def sums(w: np.ndarray) -> Sums:
         """hinge() of all training sentences, summed by the tasks; a row of fixed size comes from each."""
 
@@ -370,7 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Machine | None:
                     loss, g, h = loss + one[0], g + one[1], h + one[2]
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([g.tobytes()]), pa.array([h.tobytes()])], names=["loss", "g", "h"])
 
-        parts = [(r.loss, np.frombuffer(r.g), np.frombuffer(r.h).reshape(len(w), -1)) for r in bags.mapInArrow(part, "loss double, g binary, h binary").collect()]
+        parts = [(r.loss, np.frombuffer(r.g), np.frombuffer(r.h).reshape(len(w), -1)) for r in passes.mapInArrow(part, "loss double, g binary, h binary").collect()]
         own = told(bent, 1, w)
         parts.append(tuple(BENT * v for v in own))
         return tuple(sum(v) for v in zip(*parts, strict=True))
@@ -414,12 +417,12 @@ def calibrated(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray | Non
 def chances(machine: Machine, texts: list[str | None]) -> list[float]:
     """The probability for each text that its worst sentence is toxic."""
     f = features(tuple(machine.landmarks))
-    empty = machine.decide(np.zeros((1, len(machine.landmarks))))[0]
+    direction, empty = machine.whiten @ machine.weight, machine.bias
     found = []
     for k in range(0, len(texts), 300):
         some = [(x or "").lower() for x in texts[k : k + 300]]
         f.learn(some)
-        found += [max(empty, *machine.decide(x)) if len(x := f.sentences(t)) else empty for t in some]
+        found += [max(empty, float((x @ direction).max()) + machine.bias) if len(x := f.sentences(t)) else empty for t in some]
     return machine.probability(np.array(found)).tolist()
 
 
