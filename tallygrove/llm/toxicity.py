@@ -37,7 +37,7 @@ TRAIN_DOCS = 10_000
 CANDIDATES, LANDMARKS, ALIKE = 600, 96, 0.8
 DECAY, SPAN = 0.8, 7
 #: A word counts as far from all landmarks if none of its similarities reaches this.
-FAINT = 0.4
+FAINT = 0.5
 #: The kernel's power: a product of the kernel with itself, which is a kernel too and tells a letter more or less from other words.
 POWER = 5
 #: A landmark is a known insult if this share of the toxic training documents hold it (three of them at least), and so many times as many as
@@ -49,7 +49,7 @@ COST = 300.0
 #: Longest word looked at as one; longer ones are cut to pieces that overlap by half.
 LONGEST = 32
 #: Words kept by a task before its store is emptied.
-STORE_WORDS = 150_000
+STORE_WORDS = 280_000
 #: Signs that stand for letters.
 LOOKS = str.maketrans("0134578@$", "oieastbas")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
