@@ -15,13 +15,13 @@ from tallygrove.session import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine, fitted on all labels, doesn't find toxic (operator 5)."""
-    return toxicity.keep(docs, documents(spark, sf_dir, "labels"))
+    """Documents that the string-kernel machine, fitted on the labelled documents of sf_dir, doesn't find toxic (operator 5)."""
+    return toxicity.keep(docs, documents(spark, sf_dir, "labels"), learn_from=documents(spark, sf_dir))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio (operator 9)."""
-    return quality.keep(docs, documents(spark, sf_dir, "labels"))
+    return quality.keep(docs, documents(spark, sf_dir, "labels"), labelled=documents(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,10 +83,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
 
 
-def weights(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+def trusted_texts(labels: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _t1, _t2): trusted ids with the keys of their texts in `labelled`, whose rows the labels name."""
+    k1, k2 = text_key(F.col(text))
+    rows = labelled.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), k1.alias("_t1"), k2.alias("_t2"))
+    return rows.join(trusted_ids(labels), "_id", "left_semi").distinct()
+
+
+def is_trusted(trusted: DataFrame, key: str) -> Column:
+    """Whether a row with the columns `key`, _k1 and _k2 is one of trusted_ids() or of trusted_texts()."""
+    found = F.col(key) == F.col("_id")
+    return found & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")) if "_t1" in trusted.columns else found
+
+
+def weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """The log ratio of each bucket in units, from all n-grams of all documents; at most BUCKETS rows reach the driver."""
     chosen = docs.select(F.col(doc_id).cast("long").alias("_key"), F.col(text).alias("_text"))
-    marked = chosen.join(trusted_ids(labels).withColumn("_good", F.lit(1)).hint("merge"), F.col("_key") == F.col("_id"), "left").select("_text", "_good")
+    chosen = chosen.select("*", *text_key(F.col("_text"))) if "_t1" in trusted.columns else chosen
+    marked = chosen.join(trusted.withColumn("_good", F.lit(1)).hint("merge"), is_trusted(trusted, "_key"), "left").select("_text", "_good")
     grams = with_ngrams(marked, "_text").select("_good", F.explode(F.concat("_one", "_two")).alias("h"))
     counts = grams.groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     total = F.broadcast(counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).withColumn("one", F.lit(1)))
@@ -105,12 +119,12 @@ def text_key(text: Column) -> list[Column]:
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, the four counts, base_failed, llr (per n-gram), kept."""
-    return judged(docs, labels, doc_id, text).drop("_k1", "_k2")
+    return judged(docs, trusted_ids(labels), doc_id, text).drop("_k1", "_k2")
 
 
-def judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """scored() with the key of each row's text."""
-    table = F.expr(f"cast(split('{','.join(map(str, weights(docs, labels, doc_id, text)))}', ',') as array<bigint>)")
+    table = F.expr(f"cast(split('{','.join(map(str, weights(docs, trusted, doc_id, text)))}', ',') as array<bigint>)")
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     df = repeated_words(with_ngrams(df, "_text"), "n_repeat_words")
     n = F.size("_one").cast("long")
@@ -129,17 +143,17 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFr
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = written(df.withColumn("base_failed", failed), "quality")
-    least = threshold(df, labels)
+    least = threshold(df, trusted)
     kept = ~F.col("base_failed") & (F.col("_score") >= F.lit(least))
     return df.select(*[c for c in df.columns if c != "_score"], (F.col("_score") / STEPS).alias("llr"), kept.alias("kept"))
 
 
-def threshold(scores: DataFrame, labels: DataFrame) -> int:
+def threshold(scores: DataFrame, trusted: DataFrame) -> int:
     """The score that all but SHARE of the trusted documents that pass the base rules reach, less the margin, in steps.
 
     The scores are counted by step first, so a bounded number of rows reaches the driver.
     """
-    good = scores.where("not base_failed").join(trusted_ids(labels), F.col("doc_id") == F.col("_id"), "left_semi")
+    good = scores.where("not base_failed").join(trusted, is_trusted(trusted, "doc_id"), "left_semi")
     counts = sorted((r["_score"], r["count"]) for r in good.groupBy("_score").count().collect())
     below, least = SHARE * sum(n for _, n in counts), -(10**9)
     for score, n in counts:
@@ -149,9 +163,13 @@ def threshold(scores: DataFrame, labels: DataFrame) -> int:
     return least - round(MARGIN * STEPS)
 
 
-def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose own text the rules reject: rows that share an id are each judged by their text. Rows with a null id stay."""
-    gone = judged(docs, labels, doc_id, text).where("not kept").select("_k1", "_k2").distinct()
+def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose own text the rules reject: rows that share an id are each judged by their text. Rows with a null id stay.
+
+    The labels name rows of `labelled` (doc_id, text; None: docs): a row of docs with one's id and another text isn't trusted.
+    """
+    trusted = trusted_ids(labels) if labelled is None else written(trusted_texts(labels, labelled, doc_id, text), "trusted")
+    gone = judged(docs, trusted, doc_id, text).where("not kept").select("_k1", "_k2").distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *text_key(F.col(f"`{text}`")))
     rejected = (whole["_k1"] == gone["_k1"]) & (whole["_k2"] == gone["_k2"]) & F.col("_row")[doc_id].isNotNull()
     return whole.join(gone, rejected, "left_anti").select("_row.*")

@@ -217,7 +217,7 @@ class Features:
             v = self.kernel(found)
             for j in np.flatnonzero(v.any(axis=1)).tolist():
                 w = words[owner[j]]
-                out[w] = np.maximum(out[w], v[j]) if w in out else v[j]
+                out[w] = np.maximum(out[w], v[j]) if w in out else v[j].copy()  # a view would keep all rows of v
         return out
 
     def learn(self, texts: list[str]) -> None:
@@ -441,12 +441,12 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return chosen.mapInArrow(each, "doc_id long, score double")
 
 
-def keep(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, train=None, learn_from: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose own text a machine, fitted on the labels that `train` allows (None: all), finds toxic.
 
-    Rows that share an id are each judged by their text. Rows with a null id stay.
+    The labels name rows of `learn_from` (None: docs). Rows that share an id are each judged by their text. Rows with a null id stay.
     """
-    machine = fit(docs, labels, F.lit(True) if train is None else train)
+    machine = fit(docs if learn_from is None else learn_from, labels, F.lit(True) if train is None else train)
     if machine is None:
         return docs
     name = "_score"

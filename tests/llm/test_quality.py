@@ -66,3 +66,14 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in quality.keep(df, labels).collect()) == [0, 6]
     assert [r.doc_id for r in quality.scored(df, labels.limit(0)).collect() if r.kept] == [6]
     assert quality.scored(df.limit(0), labels).count() == 0
+
+
+def test_a_trusted_id_with_another_text_isnt_trusted(spark):
+    """The labels name rows of a table: a row that shares such a row's id and not its text tells nothing of what is good."""
+    good, other = (" ".join(f"{a}{k}" for k in range(60)) for a in ("word", "term"))
+    docs = spark.createDataFrame([(1, good), (2, other)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    named = spark.createDataFrame([(1, "the text that was labelled")], "doc_id long, text string")
+    assert [r.doc_id for r in quality.keep(docs, labels).collect()] == [1]
+    assert sorted(r.doc_id for r in quality.keep(docs, labels, labelled=named).collect()) == [1, 2]
+    assert [r.doc_id for r in quality.keep(docs, labels, labelled=docs).collect()] == [1]
