@@ -245,19 +245,26 @@ def profiles(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, print long, same binary, n long, first array<long>, bits binary")
 
 
+def leads(sets: DataFrame) -> DataFrame:
+    """(shingle, id, at, lead) of each shingle in the first fifths of two sets (id, first) or more: its place, and the set where it comes first."""
+    meet = Window.partitionBy("shingle")
+    ends = sets.select("id", F.posexplode("first").alias("at", "shingle"))
+    return ends.withColumns({"lead": F.min(F.struct("at", "id")).over(meet)["id"], "sets": F.count("id").over(meet)}).where("sets > 1").select("shingle", "id", "at", "lead")
+
+
 def similar(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) -> DataFrame:
     """(print, root) of roots (print, root) after joining those of texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     Similar sets share one of the first fifth of their shingles in any order that is the same for all sets, so no pair
     is lost, whatever the order. The order puts shingles last that are frequent in a sample of texts. Sets that share
     one are compared by size, then by bitmaps that never tell of too few common shingles, then as a whole: first each
-    with one of those that share it, which joins large groups by few comparisons, then all that are still apart.
+    with the one of those that share it that has the fewest rarer shingles, then all that are still apart. Of near copies of one
+    text that is the one least changed. The others join it, but those changed too much; these hold so many shingles of
+    their own that what they share with the group comes too late in their order to meet it again.
     """
     one = rows.where("n > 0").groupBy("same", "print").agg(F.first(F.struct(*TEXT_KEY, "n", "first", "bits")).alias("s")).select("print", "s.*")
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
-    meet = Window.partitionBy("shingle")
-    ends = one.select("id", F.posexplode("first").alias("at", "shingle")).withColumns({"lead": F.min("id").over(meet), "last": F.max("id").over(meet)})
-    shared = written(ends.where("lead < last").select("shingle", "id", "at", "lead"), "shared")  # most shingles are in one set only
+    shared = written(leads(one), "shared")  # most shingles are in one set only
 
     def fitting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -114,3 +114,13 @@ def test_sketches_never_tell_too_few():
         told = simhash.may_share(simhash.sketch(a), n, simhash.sketch(b), m)
         assert told == simhash.may_share(simhash.sketch(b), m, simhash.sketch(a), n)
         assert both <= told <= both + 0.35 * max(n, m) + 2
+
+
+def test_changed_copies_meet_the_one_least_changed(spark):
+    """Of a group's first fifths, with shingles of their own before those of the text they are copies of, the unchanged text leads, whatever its id."""
+    own = iter(range(10**6, 10**7))
+    copies = [(k, [next(own) for _ in range(1 + k % 7)] + list(range(20))) for k in range(200)]
+    sets = spark.createDataFrame([*copies, (999, list(range(20)))], "id long, first array<long>")
+    found = simhash.leads(sets).collect()
+    assert {r.lead for r in found} == {999} and len(found) == 20 * 201
+    assert sorted((r.shingle, r.at) for r in found if r.id == 8) == [(k, k + 2) for k in range(20)]
