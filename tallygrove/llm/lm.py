@@ -66,25 +66,39 @@ def vocabulary(path: str) -> dict[bytes, float]:
 
 
 class Lattice:
-    """Lattices of words: a mark for the word's begin, then its bytes."""
+    """Lattices of words: a mark for the word's begin, then its bytes.
+
+    The recursions over words of so few bytes that no product can come near the smallest float (`short`) go by
+    probabilities themselves, the others by logarithms.
+    """
 
     def __init__(self, pieces: dict[bytes, float], stop: float):
         import ahocorasick
 
         self.find = ahocorasick.Automaton()
         for x, p in pieces.items():
-            self.find.add_word(x.decode("latin-1"), (x, len(x), p + math.log1p(-stop)))
+            p += math.log1p(-stop)
+            self.find.add_word(x.decode("latin-1"), (x, len(x), p, math.exp(p)))
         self.find.make_automaton()
+        self.short = int(600 / max(1.0, -min(pieces.values()) - math.log1p(-stop)))
         self.last = math.log(stop) - math.log1p(-stop)
 
-    def forward(self, word: str) -> tuple[list[float], list]:
-        """Log probabilities of the prefixes, over all segmentations, and the arcs in order of their ends."""
-        raw = b"\xe2\x96\x81" + word.encode()
+    def plainly(self, raw: bytes) -> tuple[list[float], list]:
+        """Probabilities of the prefixes, over all segmentations, and the arcs in order of their ends."""
+        a = [0.0] * (len(raw) + 1)
+        a[0] = 1.0
+        arcs = list(self.find.iter(raw.decode("latin-1")))
+        for end, (_, n, _, q) in arcs:
+            a[end + 1] += a[end + 1 - n] * q
+        return a, arcs
+
+    def forward(self, raw: bytes) -> tuple[list[float], list]:
+        """plainly() with the logarithms of the probabilities."""
         a = [-math.inf] * (len(raw) + 1)
         a[0] = 0.0
         arcs = list(self.find.iter(raw.decode("latin-1")))
         exp, log1p = math.exp, math.log1p
-        for end, (_, n, p) in arcs:
+        for end, (_, n, p, _) in arcs:
             x, y = a[end + 1 - n] + p, a[end + 1]
             if x > y:
                 x, y = y, x
@@ -92,14 +106,27 @@ class Lattice:
         return a, arcs
 
     def log_probability(self, word: str) -> float:
-        return self.forward(word)[0][-1] + self.last
+        raw = b"\xe2\x96\x81" + word.encode()
+        return (math.log(self.plainly(raw)[0][-1]) if len(raw) <= self.short else self.forward(raw)[0][-1]) + self.last
 
     def expected(self, word: str, into: Counter, times: int = 1) -> None:
         """Adds the expected number of times that each piece is used in the word."""
-        a, arcs = self.forward(word)
+        raw = b"\xe2\x96\x81" + word.encode()
+        if len(raw) <= self.short:
+            a, arcs = self.plainly(raw)
+            b = [0.0] * len(a)
+            b[-1] = times / a[-1]
+            for end, (piece, n, _, q) in reversed(arcs):
+                x = b[end + 1] * q
+                if x:
+                    start = end + 1 - n
+                    b[start] += x
+                    into[piece] += a[start] * x
+            return
+        a, arcs = self.forward(raw)
         b = [-math.inf] * len(a)
         b[-1] = 0.0
-        for end, (piece, n, p) in reversed(arcs):
+        for end, (piece, n, p, _) in reversed(arcs):
             start, x = end + 1 - n, b[end + 1] + p
             if a[start] > -math.inf and x > -math.inf:
                 into[piece] += times * math.exp(a[start] + x - a[-1])
@@ -203,7 +230,7 @@ def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 s = b.slice(k, 500)
-                got: list[list] = [[] for _ in range(8)]
+                rows, rare, times, got = [], [], [], []  # of its other words; of documents
                 for key, text in zip(s["doc_id"].to_pylist(), s["text"].to_pylist(), strict=True):
                     tokens, (known, low, met, high) = 1, end
                     for w, m in Counter(words(text)).items():
@@ -218,14 +245,16 @@ def scored(docs: DataFrame, modulus: int = 7, rest: int = 2, doc_id: str = "doc_
                                 parts = exp(told[3])
                                 high += lgamma(parts + m) - lgamma(parts)
                         else:
-                            for column, x in zip(got, (row, None, w, m, None, None, None, None), strict=True):
-                                column.append(x)
-                    for column, x in zip(got, (row, key, None, tokens, known, low, met, high), strict=True):
-                        column.append(x)
+                            rare.append(w)
+                            times.append(m)
+                    rows += [row] * (len(rare) - len(rows))
+                    got.append((row, key, None, tokens, known, low, met, high))
                     row += 1
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 names = ["row", "doc_id", "word", "m", "known", "low", "met", "high"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(got, kinds, strict=True)], names=names)
+                for n_rows, columns in ((len(rare), (rows, None, rare, times, None, None, None, None)), (len(got), zip(*got, strict=True))):
+                    made = [pa.nulls(n_rows, k) if x is None else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(made, names=names)
 
     found = written(docs.mapInArrow(terms, "row long, doc_id long, word string, m long, known long, low double, met double, high double"), "terms")
     rare = found.where("word is not null").select("row", "word", "m").join(told, "word")

@@ -102,3 +102,17 @@ def test_words_have_a_proper_share(spark):
     assert lm.scored(df.limit(0)).count() == 0
     new = lm.scored(spark.createDataFrame([(2, "only held out")], "doc_id long, text string"), modulus=1, rest=0).collect()
     assert [(r.n_known, r.train_tokens) for r in new] == [(0, 0)] and math.isfinite(new[0].score)
+
+
+def test_short_words_go_by_probabilities_and_long_ones_by_logarithms():
+    """Both recursions give the same, and no word is so long that its probability vanishes."""
+    pieces = {bytes([b]): math.log(1e-9) for b in range(256)} | {b"ab": math.log(0.3), b"abc": math.log(0.2), b"c": math.log(0.1)}
+    model, slow = lm.Lattice(pieces, 0.3), lm.Lattice(pieces, 0.3)
+    slow.short = 0
+    assert 10 < model.short < 40
+    for word in ("", "abc", "abcabcz", "x" * 20, "abc" * 9, "z" * 400):
+        got, want = Counter(), Counter()
+        model.expected(word, got, 2)
+        slow.expected(word, want, 2)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+        assert math.isclose(model.log_probability(word), slow.log_probability(word), rel_tol=1e-12) and model.log_probability(word) > -math.inf
