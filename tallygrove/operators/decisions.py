@@ -61,24 +61,36 @@ def linked(alignment: DataFrame, mentions: DataFrame, uid: str, heading: Column,
     without an authority are left out of both. The others are rejected if the number is none (invalid_align_with_db), no
     mention has the entry (xml_id_not_found) or none of them a cluster (no_cluster_id), or if there are several and the
     best is below `least` (ambiguous_cluster_match). Of equally good mentions the first by `order` counts. heading and
-    name are normalised names; a blank one has a likeness of 0. Each different pair of names is compared once. uid must not repeat.
+    name are normalised names; a blank one has a likeness of 0. Each row is judged by itself, so a uid that repeats comes back as often.
+
+    An entry's mentions of one name are one row, and so are its alignments of one heading, before they meet. Of these only
+    headings that none of the names equals meet the names, and where several mentions have a cluster only those of a length
+    that `least` allows. Each different pair of names is compared once.
     """
     asked = alignment.where(F.trim(text(db)) != "").select(
-        F.col(uid).alias("uid"), F.regexp_extract(F.trim(text(db)), r"^(\d+)\s*(?:\||$)", 1).alias("db_id"), F.trim(F.regexp_replace(text(uid), "^[^-]*-", "")).alias("entry"), heading.alias("heading"),
+        F.col(uid).alias("uid"), F.regexp_extract(F.trim(text(db)), r"^(\d+)\s*(?:\||$)", 1).alias("db_id"), F.trim(F.regexp_replace(text(uid), "^[^-]*-", "")).alias("entry"), text(heading).alias("heading"),
     )
     asked = written(asked.withColumn("db_id", F.expr("try_cast(nullif(db_id, '') as bigint)")), "asked")
-    good = asked.where("db_id is not null")
-    held = mentions.where(F.trim(text(xml_id)) != "").select(F.trim(xml_id).alias("entry"), F.nullif(F.trim(text(cluster)), F.lit("")).alias("cluster_id"), name.alias("name"), F.col(order).alias("_order"))
-    met = written(good.join(held, "entry").select("uid", "heading", "name", "cluster_id", "_order"), "met")
-    both = met.where("cluster_id is not null and heading <> '' and name <> ''")
-    told = both.where("heading <> name").select("heading", "name").distinct().withColumn("_r", ratio(F.col("heading"), F.col("name")))
-    scored = met.join(told, ["heading", "name"], "left").withColumn("score", F.when((text("heading") == "") | (text("name") == ""), 0.0).when(F.col("heading") == F.col("name"), 1.0).otherwise(F.coalesce("_r", F.lit(0.0))))
+    held = mentions.where(F.trim(text(xml_id)) != "").select(F.trim(xml_id).alias("entry"), F.nullif(F.trim(text(cluster)), F.lit("")).alias("cluster_id"), text(name).alias("name"), F.col(order).alias("_order"))
     some = F.col("cluster_id").isNotNull()
-    best = scored.groupBy("uid").agg(F.count_if(some).alias("n"), F.min(F.when(some, F.struct((-F.col("score")).alias("s"), "_order", "cluster_id"))).alias("b"))
-    joined = written(asked.select("uid", "db_id").join(best, "uid", "left").withColumn("score", -F.col("b.s")), "best")
+    named = held.groupBy("entry", "name").agg(F.count_if(some).alias("n"), F.min(F.when(some, F.struct("_order", "cluster_id"))).alias("m"))
+    named = written(named, "named")
+    entries = named.groupBy("entry").agg(F.sum("n").alias("n"), F.min("m").alias("first"))
+    names = named.where("n > 0 and name <> ''").drop("n")
+    asks = asked.where("db_id is not null").select("entry", "heading").distinct().join(entries, "entry")
+    asks = written(asks.join(names.withColumnsRenamed({"name": "heading", "m": "same"}), ["entry", "heading"], "left"), "asks")
+    long, short = F.greatest(F.length("heading"), F.length("name")), F.least(F.length("heading"), F.length("name"))
+    fits = least * (long + short) <= 2 * short + 1e-9
+    pairs = asks.where("n > 0 and same is null and heading <> ''").select("entry", "heading", "n").join(names, "entry").where((F.col("n") == 1) | fits)
+    told = written(pairs.select("heading", "name").distinct().withColumn("score", ratio(F.col("heading"), F.col("name"))), "told")
+    scored = lambda score, m: F.struct((-score).alias("s"), F.col(m)["_order"].alias("_order"), F.col(m)["cluster_id"].alias("cluster_id"))
+    near = pairs.join(told, ["heading", "name"]).groupBy("entry", "heading").agg(F.min(scored(F.col("score"), "m")).alias("near"))
+    ways = F.when(F.col("same").isNotNull(), scored(F.lit(1.0), "same")), F.col("near"), F.when(F.col("n") > 0, scored(F.lit(0.0), "first"))
+    best = written(asks.join(near, ["entry", "heading"], "left").select("entry", "heading", "n", F.least(*ways).alias("b")), "best")
+    joined = asked.join(best, ["entry", "heading"], "left").select("uid", "db_id", "n", F.col("b.cluster_id").alias("cluster_id"), F.abs("b.s").alias("score"))
     reason = F.when(F.col("db_id").isNull(), "invalid_align_with_db").when(F.col("n").isNull(), "xml_id_not_found").when(F.col("n") == 0, "no_cluster_id").when((F.col("n") > 1) & (F.col("score") < least), "ambiguous_cluster_match")
-    joined = joined.withColumn("reason", reason)
-    return joined.where("reason is null").select("uid", "db_id", F.col("b.cluster_id").alias("cluster_id"), "score"), joined.where("reason is not null").select("uid", "reason")
+    joined = written(joined.select("uid", "db_id", "cluster_id", "score", reason.alias("reason")), "linked")
+    return joined.where("reason is null").drop("reason"), joined.where("reason is not null").select("uid", "reason")
 
 
 def core_table(authorities: DataFrame, links: DataFrame, db_id: str, keep: Sequence[str]) -> DataFrame:

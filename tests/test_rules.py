@@ -221,3 +221,38 @@ def test_linked_alignments(spark):
     core = decisions.core_table(spark.createDataFrame([("5", " A "), ("6", None), ("q", "no"), ("77", "z")], "id string, name string"), links, "id", ["name"])
     linked = {r.db_id: (r.name, r.linked_cluster_ids) for r in core.collect()}
     assert linked == {5: ("A", " | ".join(sorted({c for d, c, _ in want.values() if d == 5}))), 6: ("", " | ".join(sorted({c for d, c, _ in want.values() if d == 6}))), 77: ("z", "")}
+
+
+def test_linked_alignments_of_crowded_entries(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(9)
+    names = ["yung teater", "yung teatr", "folks bine", "", None, "habima", "ha", "teater fun yung", "qqq"]
+    # 400 alignments and 400 mentions of one entry, some of others; x1 has one cluster of an unlike name, x2 two such, x3 none
+    align = [(f"{k}-x0", rnd.choice(names), "5") for k in range(400)] + [(f"{k}-x{1 + k % 30}", rnd.choice(names), "7") for k in range(400, 700)]
+    held = [("x0", rnd.choice(["C1", "C2", None]), rnd.choice(names[:5]), k) for k in range(400)] + [(f"x{rnd.randrange(4, 30)}", rnd.choice(["C1", "C2", "C3", ""]), rnd.choice(names), k // 2) for k in range(400, 520)]
+    held += [("x1", "C9", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq", 1), ("x2", "C9", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq", 2), ("x2", "C8", "zzzz", 1), ("x3", None, "habima", 1)]
+    most, write = [], decisions.written
+
+    def counted(df, name="table"):
+        got = write(df, name)
+        most.append(got.count())
+        return got
+
+    monkeypatch.setattr(decisions, "written", counted)
+    a, m = spark.createDataFrame(align, "uid string, h string, db string").repartition(3), spark.createDataFrame(held, "x string, c string, nm string, o long").repartition(3)
+    links, bad = decisions.linked(a, m, "uid", F.col("h"), "db", "x", "c", F.col("nm"), "o")
+    like = lambda p, q: 0.0 if not p or not q else 1.0 if p == q else SequenceMatcher(None, p, q).ratio()
+    want, wrong = [], []
+    for uid, h, db in align:
+        found = [r for r in held if r[0] == uid.split("-", 1)[1]]
+        scored = sorted((-like(h, n), o, c) for _, c, n, o in found if c)
+        if not scored:
+            wrong.append((uid, "no_cluster_id" if found else "xml_id_not_found"))
+        elif len(scored) > 1 and -scored[0][0] < 0.6:
+            wrong.append((uid, "ambiguous_cluster_match"))
+        else:
+            want.append((uid, int(db), scored[0][2], -scored[0][0]))
+    assert rows(links) == sorted(want, key=repr) and rows(bad) == sorted(wrong, key=repr)
+    assert {r[1] for r in wrong} == {"xml_id_not_found", "no_cluster_id", "ambiguous_cluster_match"} and any(0 < r[3] < 0.6 for r in want) and any(r[3] == 0 for r in want) and any(0.6 < r[3] < 1 for r in want)
+    assert max(most) <= len(align)  # alignments of an entry don't meet its mentions one by one
